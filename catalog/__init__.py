@@ -1,5 +1,5 @@
 """Registered queries, by area."""
 
-from catalog import tiering
+from catalog import searching, tiering
 
-MODULES = [tiering]
+MODULES = [tiering, searching]

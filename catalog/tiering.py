@@ -11,6 +11,7 @@ from labelmill.functions import text
 from labelmill.operators import classify, match
 from labelmill.operators.ordered import first_per_key
 from labelmill.plans import pipeline, quality
+from labelmill.session import stage
 from labelmill.sources import derived
 
 QUERIES: dict = {}
@@ -191,9 +192,9 @@ def tiered_products(spark, sf):
     base.with_ctes(base.TO_PRODUCTS, "SELECT spl_setid, alternative_sugar_alcohols FROM promoted"),
 )
 def alternatives(spark, sf):
-    rows = assessed(spark, sf)
+    rows = stage(pipeline.product_rows(assessed(spark, sf), ["subject_seq"]), "assessed", ["concern_tier"])
     candidates = pipeline.liquid_candidates(rows, ["subject_seq"])
-    return pipeline.alternatives(pipeline.tiered_rows(rows), candidates).select(
+    return pipeline.alternatives(rows, candidates).select(
         "spl_setid", "alternative_sugar_alcohols"
     )
 
@@ -269,7 +270,7 @@ def last_write_wins(spark, sf):
 def first_candidate_wins(spark, sf):
     rows = records(spark, sf).withColumn("write_seq", F.col("setid"))
     rows = rows.withColumn("setid", F.concat(F.lit("set-"), F.col("seq").cast("string")))
-    return pipeline.liquid_candidates(pipeline.assess(rows), ["write_seq"]).select(
+    return pipeline.liquid_candidates(pipeline.product_rows(pipeline.assess(rows), ["write_seq"]), ["write_seq"]).select(
         "spl_setid", "labeler", "active_ingredients_unii", "inactive_ingredients_raw"
     )
 

@@ -80,16 +80,20 @@ def is_lower_case(c: Column) -> Column:
     return (c == F.lower(c)) & (c != F.upper(c))
 
 
-def first_keyword(lowered: Column, keywords: Sequence[str]) -> Column:
+def literal_array(values: Sequence[str]) -> Column:
+    """A constant array of strings (one parsed expression, folded by the optimizer)."""
+    quoted = ", ".join("r'" + v + "'" if "'" not in v else '"' + v + '"' for v in values)
+    return F.expr(f"array({quoted})")
+
+
+def first_keyword(lowered: Column, keywords: Sequence[str] | Column) -> Column:
     """First keyword, in list order, contained in the text; NULL if none."""
-    return F.coalesce(*[F.when(F.contains(lowered, F.lit(k)), F.lit(k)) for k in keywords])
+    words = keywords if isinstance(keywords, Column) else literal_array(keywords)
+    return F.get(F.filter(words, lambda k: F.contains(lowered, k)), F.lit(0))
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for k in keywords:
-        hit = hit | F.contains(text, F.lit(k))
-    return hit
+    return F.exists(literal_array(keywords), lambda k: F.contains(text, k))
 
 
 def split_list(c: Column) -> Column:

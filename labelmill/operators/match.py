@@ -25,37 +25,50 @@ def _core_aliases(aliases: Sequence[str]) -> list[str]:
     return [a for a in aliases if not any(b != a and b in a for b in aliases)]
 
 
+def _concept_table(concepts: dict[str, list[str]]) -> Column:
+    """Constant array of (name, category, all aliases, deciding aliases)."""
+
+    def array(values: Sequence[str]) -> str:
+        return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+    rows = ", ".join(
+        f"named_struct('name', '{c}', 'category', '{_category(c)}', 'aliases', {array(a)}, 'core', {array(_core_aliases(a))})"
+        for c, a in concepts.items()
+    )
+    return F.expr(f"array({rows})")
+
+
 def match_concepts(inactives: Column, profile: str = "pipeline") -> Column:
     """At most one match per concept, in vocabulary order: the first ingredient hit.
 
     ``pipeline`` searches normalised text for six concepts, ``app`` searches
     lower-cased text for eight and also reports the first alias hit.
-    Shuffle-free: works inside the record's own ingredient array.
+    Shuffle-free: works inside the record's own ingredient array against a
+    constant concept table.
     """
-    concepts = vocab.PIPELINE_CONCEPTS if profile == "pipeline" else vocab.APP_CONCEPTS
+    table = _concept_table(vocab.PIPELINE_CONCEPTS if profile == "pipeline" else vocab.APP_CONCEPTS)
     searchable = text.normalize_text if profile == "pipeline" else F.lower
 
     def with_text(i: Column) -> Column:
         return F.struct(i.alias("ing"), searchable(i["raw_name"]).alias("t"))
 
-    def first_hit(items: Column, concept: str, aliases: list[str]) -> Column:
-        def shape(i: Column) -> Column:
-            return F.struct(
+    def hits(concept: Column, items: Column) -> Column:
+        found = F.filter(items, lambda i: F.exists(concept["core"], lambda a: F.contains(i["t"], a)))
+        return F.transform(
+            F.slice(found, 1, 1),
+            lambda i: F.struct(
                 i["ing"]["raw_name"].alias("raw_name"),
                 i["ing"]["normalized_name"].alias("normalized_name"),
-                F.lit(concept).alias("canonical_name"),
-                F.lit(_category(concept)).alias("category"),
+                concept["name"].alias("canonical_name"),
+                concept["category"].alias("category"),
                 i["ing"]["unii"].alias("unii"),
-                text.first_keyword(i["t"], aliases).alias("matched_term"),
-            )
-
-        hits = F.filter(items, lambda i: text.contains_any(i["t"], _core_aliases(aliases)))
-        return F.get(F.transform(F.slice(hits, 1, 1), shape), F.lit(0))
-
-    def matches(items: Column) -> Column:
-        return F.array_compact(F.array(*[first_hit(items, c, a) for c, a in concepts.items()]))
+                text.first_keyword(i["t"], concept["aliases"]).alias("matched_term"),
+            ),
+        )
 
-    matched = text.bind(F.transform(inactives, with_text), matches)
+    matched = text.bind(
+        F.transform(inactives, with_text), lambda items: F.flatten(F.transform(table, lambda c: hits(c, items)))
+    )
     return F.coalesce(matched, F.array()).cast(f"array<{MATCH_TYPE}>")
 
 

@@ -15,6 +15,7 @@ from labelmill.functions import text
 from labelmill.operators import classify, match
 from labelmill.operators.joins import salted_join
 from labelmill.operators.ordered import first_per_key, last_per_key
+from labelmill.session import stage
 
 TIERED = ["high", "moderate", "review"]
 
@@ -103,10 +104,13 @@ def matched_excipients(assessed: DataFrame, distinct: bool = False) -> DataFrame
     return rows.distinct() if distinct else rows
 
 
-def liquid_candidates(assessed: DataFrame, order: Sequence[str]) -> DataFrame:
-    """First unmatched liquid record per setid that names an active UNII."""
-    rows = product_rows(assessed.filter("should_process AND concern_tier = 'excluded'"), order)
-    rows = rows.filter("active_ingredients_unii IS NOT NULL")
+def liquid_candidates(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """First unmatched liquid row per setid that names an active UNII.
+
+    ``rows`` are product rows, excluded ones included.
+    """
+    liquid = classify.passes_form_and_route() & (F.col("concern_tier") == "excluded")
+    rows = rows.filter(liquid & F.col("active_ingredients_unii").isNotNull())
     return first_per_key(rows, ["spl_setid"], [F.col(c) for c in order])
 
 
@@ -175,10 +179,15 @@ def with_alternatives(products: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def tier_products(records: DataFrame, order: Sequence[str] = ("subject_seq",), include_excluded: bool = False) -> DataFrame:
-    """Whole job on product records: tiered products and their alternatives."""
-    assessed = assess(records)
-    products = upsert_products(tiered_rows(assessed, order, include_excluded), order)
-    return with_alternatives(products, liquid_candidates(assessed, order)).drop(*order)
+    """Whole job on product records: tiered products and their alternatives.
+
+    The assessed rows are staged by tier once: tiered products, candidates and
+    the UNII table read their own columns and tiers from there.
+    """
+    rows = stage(product_rows(assess(records), order), "assessed", ["concern_tier"])
+    kept = rows if include_excluded else rows.filter("concern_tier <> 'excluded'")
+    products = upsert_products(kept, order)
+    return with_alternatives(products, liquid_candidates(rows, order)).drop(*order)
 
 
 def broad_recall(assessed: DataFrame) -> DataFrame:
