@@ -274,7 +274,8 @@ def concept_ranking(spark, sf):
     """Every candidate of every query, ranked span by span."""
     normalized = queries.normalize_queries(derived.search_queries(spark))
     candidates = concept_plans.token_candidates(normalized, derived.concepts(spark, sf))
-    return concept_plans.resolve(normalized, candidates, limit=None).select("query_id", "rxcui", "rank")
+    scored = concept_plans.score_candidates(candidates.filter(F.length("normalized_text") >= 2))
+    return concept_plans.rank(scored).select("query_id", "rxcui", "rank")
 
 
 @query(

@@ -114,15 +114,13 @@ def literal_term_hits(terms: Sequence[str], entry_keys: Column) -> Column:
 
 
 def record_keys(inactives: Column) -> Column:
-    """All match keys of a record's inactive ingredients, in one array."""
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                inactives,
-                lambda i: ingredients.ingredient_keys(i["raw_name"], i["raw_name"], i["normalized_name"], i["unii"]),
-            )
-        )
-    )
+    """All match keys of a record's inactive ingredients, in one array.
+
+    A record's normalised name differs from its raw name in case and spacing
+    only, so the raw name alone gives every key.
+    """
+    keys = F.transform(inactives, lambda i: ingredients.match_keys(i["raw_name"], i["unii"], broaden=True))
+    return F.array_distinct(F.flatten(keys))
 
 
 def filter_verdict(include: Column, exclude: Column, include_hits: Column, exclude_hits: Column) -> Column:
