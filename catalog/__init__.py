@@ -1,5 +1,5 @@
 """Registered queries, by area."""
 
-from catalog import searching, tiering
+from catalog import screening, searching, texts, tiering
 
-MODULES = [tiering, searching]
+MODULES = [tiering, screening, searching, texts]

@@ -39,7 +39,7 @@ def normalize_text(x: str) -> str:
 
 def title_case(x: str) -> str:
     runs = f"regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+')"
-    return f"array_to_string(list_transform({runs}, lambda r: upper(r[1]) || lower(r[2:])), '')"
+    return f"array_to_string(list_transform({runs}, lambda r: CASE WHEN r[1] = 'ß' THEN 'Ss' ELSE upper(r[1]) END || lower(r[2:])), '')"
 
 
 def with_ctes(ctes: list[str], body: str) -> str:

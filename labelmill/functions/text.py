@@ -66,13 +66,20 @@ def normalize_excipient(c: Column) -> Column:
     return squash(c)
 
 
+def capitalize(word: Column) -> Column:
+    """First character in title form (sharp s gives Ss), the rest lower."""
+    first = F.upper(F.substring(word, 1, 1))
+    return F.concat(
+        F.substring(first, 1, 1),
+        F.lower(first.substr(F.lit(2), F.length(first))),
+        F.lower(word.substr(F.lit(2), F.length(word))),
+    )
+
+
 def title_case(c: Column) -> Column:
     """First letter of every run of letters upper, the others lower."""
     runs = F.regexp_extract_all(c, F.lit(r"(?s)(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))),
-        "",
-    )
+    return F.array_join(F.transform(runs, capitalize), "")
 
 
 def is_lower_case(c: Column) -> Column:
@@ -160,8 +167,7 @@ def _headline(c: Column) -> Column:
 
     def shape(word: Column, i: Column) -> Column:
         small = F.lower(word).isin(vocab.SMALL_WORDS) & (i > 0)
-        capital = F.concat(F.upper(F.substring(word, 1, 1)), F.lower(word.substr(F.lit(2), F.length(word))))
-        return F.when(small, F.lower(word)).otherwise(capital)
+        return F.when(small, F.lower(word)).otherwise(capitalize(word))
 
     return F.array_join(F.transform(words, shape), " ")
 
