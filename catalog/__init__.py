@@ -1,5 +1,5 @@
 """Registered queries, by area."""
 
-from catalog import screening, searching, texts, tiering
+from catalog import documents, screening, searching, texts, tiering
 
-MODULES = [tiering, screening, searching, texts]
+MODULES = [tiering, screening, searching, texts, documents]

@@ -108,11 +108,6 @@ def term_hits(terms: Column, entry_keys: Column) -> Column:
     )
 
 
-def literal_term_hits(terms: Sequence[str], entry_keys: Column) -> Column:
-    """As ``term_hits`` for terms known when the query is written."""
-    return term_hits(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), entry_keys)
-
-
 def record_keys(inactives: Column) -> Column:
     """All match keys of a record's inactive ingredients, in one array.
 
@@ -123,6 +118,15 @@ def record_keys(inactives: Column) -> Column:
     return F.array_distinct(F.flatten(keys))
 
 
+def entry_keys(entries: Column) -> Column:
+    """As ``record_keys`` for full ingredient entries (raw text may be a whole table row)."""
+    keys = F.transform(
+        entries,
+        lambda e: ingredients.ingredient_keys(e["raw_name"], e["display_name"], e["normalized_name"], e["unii"]),
+    )
+    return F.array_distinct(F.flatten(keys))
+
+
 def filter_verdict(include: Column, exclude: Column, include_hits: Column, exclude_hits: Column) -> Column:
     """Any include term hits (if given) and no exclude term hits."""
     return ((F.size(include) == 0) | (F.size(include_hits) > 0)) & (F.size(exclude_hits) == 0)

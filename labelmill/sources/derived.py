@@ -247,3 +247,147 @@ def label_rmc(sections: DataFrame) -> DataFrame:
         F.concat(F.col("name"), F.lit(" (5."), k.cast("string"), F.lit(")")).alias("rmc_section"),
         F.concat(F.lpad((v % 12 + 1).cast("string"), 2, "0"), F.lit("/2024")).alias("rmc_date"),
     )
+
+
+# --- label XML over the views ------------------------------------------------------
+
+
+def _xml(c: Column | str) -> Column:
+    """Text safe inside XML elements and attributes; characters XML forbids are dropped."""
+    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "")
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def _attribute(name: str, value: Column) -> Column:
+    """`` name="value"``, or nothing for NULL."""
+    return F.coalesce(F.concat(F.lit(f' {name}="'), value, F.lit('"')), F.lit(""))
+
+
+def label_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every derived label rendered as a label XML document.
+
+    The inactive ingredient section is a table, paragraphs, plain text or
+    missing, by part.
+    """
+    records = label_records(spark, sf_dir)
+    unii = F.lit("2.16.840.1.113883.4.9")
+
+    def code(u: Column) -> Column:
+        return F.coalesce(F.concat(F.lit('<code code="'), u, F.lit('" codeSystem="'), unii, F.lit('"/>')), F.lit(""))
+
+    def active(i: Column) -> Column:
+        amount = F.regexp_extract(i["strength"], "^([0-9]+)", 1)
+        return F.concat(
+            F.lit('<ingredient classCode="ACTIB"><quantity><numerator value="'),
+            amount,
+            F.lit('" unit="mg"/><denominator value="5" unit="mL"/></quantity><ingredientSubstance>'),
+            code(i["unii"]),
+            F.lit("<name>"),
+            _xml(i["name"]),
+            F.lit("</name></ingredientSubstance></ingredient>"),
+        )
+
+    def inactive(i: Column) -> Column:
+        return F.concat(
+            F.lit('<ingredient classCode="IACT"><ingredientSubstance>'),
+            code(i["unii"]),
+            F.lit("<name> "),
+            _xml(i["raw_name"]),
+            F.lit("</name></ingredientSubstance></ingredient>"),
+        )
+
+    def cells(i: Column) -> Column:
+        return F.concat(
+            F.lit("<tr><td>"), _xml(i["raw_name"]), F.lit("</td><td>5 mg</td><td>"), F.coalesce(i["unii"], F.lit("")), F.lit("</td></tr>")
+        )
+
+    def paragraph(i: Column) -> Column:
+        tag = F.coalesce(F.concat(F.lit(" (UNII: "), i["unii"], F.lit(")")), F.lit(""))
+        return F.concat(F.lit("<paragraph>"), _xml(i["raw_name"]), tag, F.lit("</paragraph>"))
+
+    def joined(items: str, f) -> Column:
+        return F.array_join(F.transform(items, f), "")
+
+    kind = F.col("seq") % 4
+    body = (
+        F.when(
+            kind == 0,
+            F.concat(
+                F.lit("<table><tr><th>Ingredient Name</th><th>Strength</th><th>UNII</th></tr>"), joined("inactives", cells), F.lit("</table>")
+            ),
+        )
+        .when(kind == 1, joined("inactives", paragraph))
+        .when(kind == 2, F.concat(F.lit("Inactive ingredients: "), F.array_join(F.transform("inactives", lambda i: _xml(i["raw_name"])), "; ")))
+    )
+    section = F.when(
+        body.isNotNull(), F.concat(F.lit("<component><section><title>INACTIVE INGREDIENTS</title><text>"), body, F.lit("</text></section></component>"))
+    ).otherwise("")
+    xml = F.concat(
+        F.lit('<document xmlns="urn:hl7-org:v3"><code code="34391-3"'),
+        _attribute("displayName", F.col("product_type")),
+        F.lit("/><title>Label of "),
+        _xml("product_name"),
+        F.lit("</title><author><assignedEntity><representedOrganization><name>"),
+        _xml("labeler"),
+        F.lit("</name></representedOrganization></assignedEntity></author><component><structuredBody>"
+              "<component><section><subject><manufacturedProduct><manufacturedProduct><code code=\""),
+        F.get("ndcs", F.lit(0)),
+        F.lit('" codeSystem="2.16.840.1.113883.6.69"/><name>'),
+        _xml("product_name"),
+        F.lit("</name>"),
+        F.coalesce(F.concat(F.lit('<formCode displayName="'), F.col("dosage_form"), F.lit('"/>')), F.lit("")),
+        joined("actives", active),
+        joined("inactives", inactive),
+        F.lit("</manufacturedProduct>"),
+        F.coalesce(
+            F.concat(F.lit('<consumedIn><substanceAdministration><routeCode displayName="'), F.col("route"), F.lit('"/></substanceAdministration></consumedIn>')),
+            F.lit(""),
+        ),
+        F.lit("</manufacturedProduct></subject></section></component>"),
+        section,
+        F.lit("</structuredBody></component></document>"),
+    )
+    return records.select(
+        "setid", "source_file", "seq", F.lit(0).alias("member_seq"), F.lit(0).alias("xml_seq"), F.col("setid").alias("member"), xml.alias("xml")
+    )
+
+
+def change_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label version as a document with coded sections and a changes table.
+
+    At most five sections and five changes per version are gathered.
+    """
+    sections = label_sections(spark, sf_dir)
+    codes = {"Boxed Warning": "34066-1", "Contraindications": "34070-3", "Warnings and Precautions": "34071-1",
+             "Adverse Reactions": "34083-6", "Drug Interactions": "34073-7"}
+    code = F.element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), F.col("name"))
+    rendered = sections.select(
+        "setid",
+        "version",
+        "k",
+        F.concat(
+            F.lit('<component><section><code code="'), code, F.lit('"/><text><paragraph>'), _xml("section_text"), F.lit("</paragraph></text></section></component>")
+        ).alias("part"),
+        F.when(
+            (F.col("version") > 0) & ((F.col("version") % (F.col("k") + 1) == 0) | (F.col("k") == 3)),
+            F.concat(
+                F.lit("<tr><td>"), F.col("name"), F.lit(" (5."), F.col("k").cast("string"), F.lit(")</td><td>"),
+                F.lpad((F.col("version") % 12 + 1).cast("string"), 2, "0"), F.lit("/2024</td></tr>"),
+            ),
+        ).alias("change"),
+    )
+    grouped = rendered.groupBy("setid", "version").agg(F.array_sort(F.collect_list(F.struct("k", "part", "change"))).alias("s"))
+    changes = F.array_join(F.transform("s", lambda s: s["change"]), "")
+    versions = label_versions(spark, sf_dir).drop("text")
+    xml = F.concat(
+        F.lit('<document xmlns="urn:hl7-org:v3"><code code="'), F.col("doc_code"), F.lit('"/><component><structuredBody>'),
+        F.lit('<component><section><code code="60561-8"/><text><table>'), changes, F.lit("</table></text></section></component>"),
+        F.array_join(F.transform("s", lambda s: s["part"]), ""),
+        F.lit("</structuredBody></component></document>"),
+    )
+    return versions.join(grouped, ["setid", "version"]).select(
+        "setid", "version", "published_date", xml.alias("xml")
+    )
