@@ -272,7 +272,9 @@ def label_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     The inactive ingredient section is a table, paragraphs, plain text or
     missing, by part.
     """
-    records = label_records(spark, sf_dir)
+    # rendering and parsing cost far more than the rows weigh: spread them evenly
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records = label_records(spark, sf_dir).repartition(spread, "setid")
     unii = F.lit("2.16.840.1.113883.4.9")
 
     def code(u: Column) -> Column:
