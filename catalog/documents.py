@@ -27,8 +27,8 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def parsed(spark, sf):
-    return label_xml.parse_documents(derived.label_documents(spark, sf))
+def parsed(spark, sf, parts="all"):
+    return label_xml.parse_documents(derived.label_documents(spark, sf), parts)
 
 
 @query(
@@ -42,7 +42,7 @@ def parsed(spark, sf):
 )
 def parsed_records(spark, sf):
     """Product records read back from label XML."""
-    rows = label_xml.product_records(parsed(spark, sf))
+    rows = label_xml.product_records(parsed(spark, sf, "records"))
     join = pipeline.join_values
     return rows.select(
         "setid", "product_name", "labeler", "dosage_form", "route", F.array_join("ndcs", "; ").alias("ndcs"),
@@ -64,7 +64,7 @@ def parsed_records(spark, sf):
 )
 def parsed_tiers(spark, sf):
     """From label XML to tiered products and alternatives."""
-    first = label_xml.first_label_per_archive(parsed(spark, sf))
+    first = label_xml.first_label_per_archive(parsed(spark, sf, "records"))
     rows = label_xml.product_records(first)
     order = ["source_file", "member_seq", "xml_seq", "subject_seq"]
     out = pipeline.tier_products(rows, [c for c in order if c != "source_file"])
@@ -94,7 +94,7 @@ _normalized = f"CASE WHEN raw_name = lower(raw_name) AND raw_name <> upper(raw_n
 )
 def parsed_details(spark, sf):
     """Per-subject details: extended names, ingredient entries, document fallbacks."""
-    rows = label_xml.all_details(parsed(spark, sf))
+    rows = label_xml.all_details(parsed(spark, sf, "details"))
     actives = F.transform(
         "active_ingredients",
         lambda e: F.concat_ws("/", e["normalized_name"], F.coalesce(e["unii"], F.lit("")), F.coalesce(e["strength"], F.lit(""))),

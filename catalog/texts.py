@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import base
 from labelmill import vocab
 from labelmill.functions import ingredients, text
+from labelmill.session import spread
 from labelmill.sources import derived
 
 QUERIES: dict = {}
@@ -144,7 +145,7 @@ cleaned AS (
 )
 def narrative_ingredients(spark, sf):
     """Every document read as an ingredient narrative, whole texts."""
-    docs = derived.table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(derived.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     rows = docs.select("doc_id", F.posexplode(ingredients.split_candidates(F.col("text"))).alias("pos", "piece"))
     entry = ingredients.build_entry(F.col("piece"), "narrative_text", "inactive")
     rows = rows.withColumn("e", entry).filter("e IS NOT NULL")
@@ -170,7 +171,7 @@ def narrative_ingredients(spark, sf):
     ),
 )
 def named_entries(spark, sf):
-    docs = derived.table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(derived.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     rows = docs.select("doc_id", F.explode(ingredients.split_candidates(F.col("text"))).alias("piece"))
     rows = rows.withColumn("name", F.lower(ingredients.cleanup_name(F.col("piece"))))
     return rows.groupBy("doc_id").agg(

@@ -116,14 +116,16 @@ def primary_active(c: Column) -> Column:
 
 
 def keep_first_by(items: Column, key: Callable[[Column], Column], empty: Column) -> Column:
-    """Distinct array elements by key, first one wins, order kept."""
-    return F.aggregate(
-        items,
-        empty,
-        lambda kept, item: F.when(
-            F.exists(kept, lambda k: key(k).eqNullSafe(key(item))), kept
-        ).otherwise(F.concat(kept, F.array(item))),
+    """Distinct array elements by key, first one wins, order kept.
+
+    ``empty`` is an empty array of the element type, the result for NULL.
+    """
+    # position of the first element with the same key: the keys are built once
+    keyed = bind(
+        F.transform(items, lambda item: F.coalesce(key(item), F.lit(""))),
+        lambda keys: F.filter(items, lambda item, i: F.array_position(keys, F.get(keys, i)) == i + 1),
     )
+    return F.coalesce(keyed, empty)
 
 
 def strength_summary(strengths: Column) -> Column:

@@ -130,8 +130,13 @@ def _section(section: ET.Element) -> dict:
     }
 
 
-def read_document(xml: str | None) -> dict | None:
-    """Raw fields of one label document; None if it is not well-formed."""
+def read_document(xml: str | None, parts: str = "all") -> dict | None:
+    """Raw fields of one label document; None if it is not well-formed.
+
+    ``parts``: ``records`` leaves section and document-wide ingredients out,
+    ``details`` keeps them for documents without product subjects, ``all``
+    keeps them always.
+    """
     try:
         root = ET.fromstring(xml or "")
     except ET.ParseError:
@@ -142,6 +147,8 @@ def read_document(xml: str | None) -> dict | None:
         for inner in ("manufacturedProduct", "manufacturedMedicine")
     ]
     code, title = root.find(_NS + "code"), root.find(_NS + "title")
+    subjects = _subjects(root)
+    whole = parts == "all" or (parts == "details" and all(s["kind"] == "container" for s in subjects))
     return {
         "doc_code": _attr(code, "code"),
         "doc_type": _attr(code, "displayName"),
@@ -158,19 +165,21 @@ def read_document(xml: str | None) -> dict | None:
             if _NDC_SHAPE.match(e.get("code", ""))
         ],
         "text_ndcs": list(dict.fromkeys(_NDC_ANYWHERE.findall(xml))),
-        "subjects": _subjects(root),
-        "ingredients": _ingredients(root),
-        "sections": [_section(s) for s in root.iter(_NS + "section")],
+        "subjects": subjects,
+        "ingredients": _ingredients(root) if whole else [],
+        "sections": [_section(s) for s in root.iter(_NS + "section")] if whole else [],
     }
 
 
-def _parse_batch(xml: pa.Array) -> pa.Array:
-    return pa.array([read_document(x) for x in xml.to_pylist()], type=_document_type())
+def parse_label(xml: Column | str, parts: str = "all") -> Column:
+    """The document struct of an XML text column."""
 
+    def parse(batch: pa.Array) -> pa.Array:
+        return pa.array([read_document(x, parts) for x in batch.to_pylist()], type=_document_type())
 
-def parse_label(xml: Column | str) -> Column:
-    """The document struct of an XML text column."""
-    return F.arrow_udf(_parse_batch, schemas.DOCUMENT)(xml)
+    # declared non-deterministic so that filters on the result are not pushed
+    # through it, which would parse every document once more
+    return F.arrow_udf(parse, schemas.DOCUMENT).asNondeterministic()(xml)
 
 
 def _document_type() -> pa.DataType:
@@ -198,9 +207,9 @@ def _document_type() -> pa.DataType:
     )
 
 
-def parse_documents(members: DataFrame) -> DataFrame:
+def parse_documents(members: DataFrame, parts: str = "all") -> DataFrame:
     """Replace the ``xml`` column by the parsed ``doc`` (NULL if unreadable)."""
-    return members.withColumn("doc", parse_label("xml")).drop("xml")
+    return members.withColumn("doc", parse_label("xml", parts)).drop("xml")
 
 
 # --- pipeline flavour ---------------------------------------------------------------
@@ -483,17 +492,12 @@ def _with_suffix(name: Column, suffix: Column) -> Column:
     return F.when(extend, F.concat(name, F.lit(" "), suffix)).otherwise(name)
 
 
-def single_details(parsed: DataFrame) -> DataFrame:
-    """One detail per document: names from four layouts, else the title."""
-    doc = F.col("doc")
-    keep = [c for c in parsed.columns if c != "doc"]
+def _single_detail(doc: Column) -> Column:
     given = _first_present(doc["names"])
     name = F.coalesce(
         _with_suffix(given, _first_present(doc["forms"])), text.blank_to_null(doc["title"]), F.lit("Unknown product")
     )
-    return parsed.filter("doc IS NOT NULL").select(
-        *keep,
-        F.lit(0).alias("subject_seq"),
+    return F.struct(
         name.alias("product_name"),
         doc["text_ndcs"].alias("ndcs"),
         text.squash(doc["route"]).alias("route"),
@@ -506,47 +510,57 @@ def single_details(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _subject_detail(doc: Column, s: Column) -> Column:
+    form = text.blank_to_null(text.squash(s["form"]))
+    plain_name = F.coalesce(text.blank_to_null(text.squash(s["name"])), F.lit("Unknown product"))
+
+    def fields(active: Column, inactive: Column) -> Column:
+        name = text.bind(plain_name, lambda n: _with_suffix(n, F.get(active, F.lit(0))["strength"]))
+        return F.struct(
+            text.bind(name, lambda n: _with_suffix(n, form)).alias("product_name"),
+            F.array_distinct(s["ndc_codes"]).alias("ndcs"),
+            F.coalesce(text.blank_to_null(text.squash(s["route"])), text.squash(doc["route"])).alias("route"),
+            form.alias("dosage_form"),
+            app_labeler(doc).alias("labeler"),
+            F.lit(None).cast("string").alias("product_type"),
+            active.alias("active_ingredients"),
+            inactive.alias("inactive_ingredients"),
+            text.blank_to_null(F.array_join(F.transform(inactive, lambda e: e["display_name"]), ", ")).alias(
+                "inactive_ingredients_raw"
+            ),
+        )
+
+    return text.bind(
+        product_data_entries(s["ingredients"], "active"),
+        lambda a: text.bind(product_data_entries(s["ingredients"], "inactive"), lambda i: fields(a, i)),
+    )
+
+
+def _unpack(parsed: DataFrame, details: Column) -> DataFrame:
+    keep = [c for c in parsed.columns if c != "doc"]
+    rows = parsed.filter("doc IS NOT NULL").select(*keep, F.posexplode(details).alias("subject_seq", "d"))
+    return rows.select(*keep, "subject_seq", "d.*")
+
+
+def single_details(parsed: DataFrame) -> DataFrame:
+    """One detail per document: names from four layouts, else the title."""
+    return _unpack(parsed, F.array(_single_detail(F.col("doc"))))
+
+
 def all_details(parsed: DataFrame) -> DataFrame:
     """One detail per product subject; documents without subjects give one detail.
 
     Subject details carry no product type, so the human filter lets them pass.
     """
     doc = F.col("doc")
-    keep = [c for c in parsed.columns if c != "doc"]
-    parsed = parsed.filter("doc IS NOT NULL")
     products = F.filter(doc["subjects"], lambda s: s["kind"] != "container")
-    rows = parsed.select(
-        *keep, app_labeler(doc).alias("labeler"), text.squash(doc["route"]).alias("_doc_route"),
-        F.posexplode(products).alias("subject_seq", "s"),
-    )
-    s = F.col("s")
-    rows = rows.withColumns(
-        {
-            "active_ingredients": product_data_entries(s["ingredients"], "active"),
-            "inactive_ingredients": product_data_entries(s["ingredients"], "inactive"),
-            "dosage_form": text.blank_to_null(text.squash(s["form"])),
-            "route": F.coalesce(text.blank_to_null(text.squash(s["route"])), F.col("_doc_route")),
-            "_name": F.coalesce(text.blank_to_null(text.squash(s["name"])), F.lit("Unknown product")),
-        }
-    )
-    first_strength = F.get("active_ingredients", F.lit(0))["strength"]
-    rows = rows.withColumn("_name", _with_suffix(F.col("_name"), first_strength))
-    subjects = rows.select(
-        *keep,
-        "subject_seq",
-        _with_suffix(F.col("_name"), F.col("dosage_form")).alias("product_name"),
-        F.array_distinct(s["ndc_codes"]).alias("ndcs"),
-        "route",
-        "dosage_form",
-        "labeler",
-        F.lit(None).cast("string").alias("product_type"),
-        "active_ingredients",
-        "inactive_ingredients",
-        text.blank_to_null(
-            F.array_join(F.transform("inactive_ingredients", lambda e: e["display_name"]), ", ")
-        ).alias("inactive_ingredients_raw"),
+    details = text.bind(
+        products,
+        lambda ps: F.when(F.size(ps) > 0, F.transform(ps, lambda s: _subject_detail(doc, s))).otherwise(
+            F.array(_single_detail(doc))
+        ),
     )
-    return subjects.unionByName(single_details(parsed.filter(F.size(products) == 0)))
+    return _unpack(parsed, details)
 
 
 def details_as_records(details: DataFrame) -> DataFrame:
