@@ -15,6 +15,8 @@ SETTINGS = {
     # expressions on label text cost more than its bytes suggest: keep small stages parallel
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.session.timeZone": "UTC",
+    # long column expressions are built faster without call-site tracking
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # label XML can reach megabytes: small Arrow batches keep Python workers small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
