@@ -326,11 +326,17 @@ def app_strength(i: Column) -> Column:
     """``100 mg/1 mL``; parts without unit show the bare value, a bare 1 below is dropped."""
 
     def part(value: Column, unit: Column) -> Column:
-        v, u = text.squash(F.coalesce(value, F.lit(""))), text.squash(F.coalesce(unit, F.lit("")))
-        return F.when(v != "", F.when(u.isin("", "1"), v).otherwise(F.concat(v, F.lit(" "), u)))
+        clean = F.struct(
+            text.squash(F.coalesce(value, F.lit(""))).alias("v"), text.squash(F.coalesce(unit, F.lit(""))).alias("u")
+        )
+        shown = lambda x: F.when(x["u"].isin("", "1"), x["v"]).otherwise(F.concat(x["v"], F.lit(" "), x["u"]))
+        return text.bind(clean, lambda x: F.when(x["v"] != "", shown(x)))
 
-    top, bottom = part(i["num_value"], i["num_unit"]), part(i["den_value"], i["den_unit"])
-    return F.when(top.isNotNull() & bottom.isNotNull() & (bottom != "1"), F.concat(top, F.lit("/"), bottom)).otherwise(top)
+    both = F.struct(part(i["num_value"], i["num_unit"]).alias("top"), part(i["den_value"], i["den_unit"]).alias("bottom"))
+    return text.bind(
+        both,
+        lambda b: F.when(b["bottom"] != "1", F.concat(b["top"], F.lit("/"), b["bottom"])).otherwise(b["top"]),
+    )
 
 
 def product_data_entries(items: Column, role: str) -> Column:
@@ -364,31 +370,43 @@ def _is_strength_header(h: Column) -> Column:
 
 
 def _unii_cell(c: Column) -> Column:
-    found = F.regexp_extract(F.upper(c), "[A-Z0-9]{10}", 0)
-    return text.blank_to_null(F.coalesce(text.blank_to_null(found), F.upper(text.squash(c))))
+    def body(upper: Column) -> Column:
+        found = text.blank_to_null(F.regexp_extract(upper, "[A-Z0-9]{10}", 0))
+        return F.coalesce(found, text.blank_to_null(upper))
+
+    return text.bind(F.upper(text.squash(c)), body)
+
+
+def _cell_role(header: Column) -> Column:
+    """What a column holds by its header; a name header wins over UNII, UNII over strength."""
+    return (
+        F.when(_is_name_header(header), "name")
+        .when(F.contains(header, F.lit("unii")), "unii")
+        .when(_is_strength_header(header), "strength")
+    )
 
 
 def _table_row_entry(values: Column, headers: Column, role: str) -> Column:
     """Entry of one data row: by header where headers are known, else columns 1, 2, 3."""
-    cells = F.transform(
-        values, lambda v, i: F.struct(v.alias("v"), F.coalesce(F.get(headers, i), F.lit("")).alias("h"))
-    )
+    by_place = F.array(F.lit("name"), F.lit("strength"), F.lit("unii"))
+    roles = F.coalesce(F.transform(headers, _cell_role), by_place)
+    cells = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.get(roles, i).alias("role")))
+
+    def entry(cs: Column) -> Column:
+        def last(wanted: str) -> Column:
+            # the last column of a kind counts
+            return F.get(F.reverse(F.filter(cs, lambda c: c["role"] == wanted)), F.lit(0))["v"]
+
+        return ingredients.build_entry(
+            F.coalesce(last("name"), F.get(values, F.lit(0))),
+            "table",
+            role,
+            unii=_unii_cell(last("unii")),
+            strength=last("strength"),
+            raw_name=F.array_join(values, " | "),
+        )
 
-    def last(test) -> Column:
-        hits = F.filter(cells, lambda c: test(c["h"]))
-        return F.get(hits, F.size(hits) - 1)["v"]
-
-    by_header = headers.isNotNull()
-    name = F.when(by_header, F.coalesce(last(_is_name_header), F.get(values, F.lit(0)))).otherwise(F.get(values, F.lit(0)))
-    unii = F.when(
-        by_header, _unii_cell(last(lambda h: ~_is_name_header(h) & F.contains(h, F.lit("unii"))))
-    ).otherwise(_unii_cell(F.get(values, F.lit(2))))
-    strength = F.when(
-        by_header,
-        last(lambda h: ~_is_name_header(h) & ~F.contains(h, F.lit("unii")) & _is_strength_header(h)),
-    ).otherwise(F.get(values, F.lit(1)))
-    row_text = F.array_join(values, " | ")
-    return ingredients.build_entry(name, "table", role, unii=unii, strength=strength, raw_name=row_text)
+    return text.bind(cells, entry)
 
 
 def table_entries(tables: Column, role: str) -> Column:
