@@ -429,7 +429,7 @@ terms AS (
   SELECT setid, {_terms_sql(['PEG', 'glycerol', 'D-Sorbitol'])} AS inc, {_terms_sql(['red dye', 'sucrose'])} AS exc,
     coalesce(string_agg(raw_name, ', ' ORDER BY pos) FILTER (ing_role = 'inactive'), '') AS inactive_ingredients_raw,
     (SELECT string_agg(strength, ', ' ORDER BY p) FROM (SELECT strength, min(pos) AS p FROM ings j
-       WHERE j.setid = i.setid AND strength IS NOT NULL GROUP BY strength) s) AS dailymed_strength
+       WHERE j.setid = i.setid AND strength IS NOT NULL GROUP BY strength) s) AS strength_summary
   FROM ings i GROUP BY setid
 )"""
 
@@ -465,7 +465,7 @@ def filter_terms(spark, sf):
     "excipient_comparison",
     base.with_ctes(
         [*TO_RESULTS, _terms],
-        """SELECT query_id, setid, product_name, labeler, dosage_form, route, ndcs, dailymed_strength, inactive_ingredients_raw,
+        """SELECT query_id, setid, product_name, labeler, dosage_form, route, ndcs, strength_summary, inactive_ingredients_raw,
              inc AS matched_include_terms, exc AS matched_exclude_terms, CAST(inc <> '' AND exc = '' AS INTEGER) AS matches_filter
            FROM results JOIN terms USING (setid) WHERE coalesce(product_type, '') = '' OR contains(product_type, 'HUMAN')""",
     ),
@@ -475,7 +475,7 @@ def excipient_comparison(spark, sf):
     rows = search.comparison_rows(_results(spark, sf), records(spark, sf), INCLUDE, EXCLUDE)
     return rows.select(
         "query_id", "setid", "product_name", "labeler", "dosage_form", "route", F.array_join("ndcs", "; ").alias("ndcs"),
-        "dailymed_strength", "inactive_ingredients_raw",
+        "strength_summary", "inactive_ingredients_raw",
         F.array_join("matched_include_terms", "; ").alias("matched_include_terms"),
         F.array_join("matched_exclude_terms", "; ").alias("matched_exclude_terms"),
         F.col("matches_filter").cast("int").alias("matches_filter"),
@@ -623,8 +623,11 @@ def products_by_ndc(spark, sf):
 def live_snapshot(spark, sf):
     """Latest event per user that has not expired an hour before the last event."""
     events = derived.table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", "ts")
-    now = events.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("now"))
-    rows = search.live_snapshot(
-        events.join(F.broadcast(now)), ["user_id"], "ts", F.col("now"), tie="event_id"
-    )
+    rows = search.live_snapshot(events, ["user_id"], "ts", hour_before_last(events), tie="event_id")
     return rows.select("user_id", "event_id", "event_type", "value")
+
+
+def hour_before_last(events):
+    """The reading time of the snapshot: one value, an hour before the last event."""
+    last = events.agg(F.max("ts").cast("string").alias("last")).first()["last"]
+    return F.lit(last).cast(events.schema["ts"].dataType) - F.expr("INTERVAL 1 HOUR")

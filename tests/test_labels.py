@@ -147,7 +147,7 @@ def test_comparison_on_parsed_details(spark):
     assert [(r.matched_include_terms, r.matched_exclude_terms, r.matches_filter) for r in rows] == [
         ([], ["magnesium"], False), (["maltitol"], [], True),
     ]
-    assert [r.dailymed_strength for r in rows] == ["250 mg", "100 mg/1 mL"]
+    assert [r.strength_summary for r in rows] == ["250 mg", "100 mg/1 mL"]
     shown = search.matching_rows(search.comparison_rows(results, details), None, None)
     assert shown.count() == 2
     picked = search.product_detail(details, "s0", "50474-001-48").first()
