@@ -342,6 +342,19 @@ def test_tables_and_csvs(spark, tmp_path):
     assert {r.spl_setid: r.concern_tier for r in back.collect()}["s1"] == "excluded"
 
 
+def test_report_pack(spark, tmp_path):
+    parsed = docs(spark, syrup("Alpha", "U1", "Sorbitol"), "<broken", syrup("Vet", "U9", "Xylitol", "VETERINARY LABEL"))
+    assessed = pipeline.assess(label_xml.product_records(parsed))
+    products = pipeline.tiered_rows(assessed, ["member_seq"]).withColumn("processed_at", F.lit("now"))
+    sinks.write_quality_reports(
+        assessed, label_xml.labels_read(parsed), label_xml.parse_failures(parsed), products, str(tmp_path)
+    )
+    stages = {r.stage: int(r["count"]) for r in spark.read.csv(str(tmp_path / "qa_funnel_summary"), header=True).collect()}
+    assert (stages["total_xml_files"], stages["parse_failures"], stages["non_human_skipped"], stages["final_high"]) == (3, 1, 1, 1)
+    assert spark.read.csv(str(tmp_path / "qa_samples"), header=True).filter("bucket = 'included'").count() == 1
+    assert spark.read.csv(str(tmp_path / "broad_recall_products"), header=True).columns[-1] == "source_file"
+
+
 def test_known_positive_file(spark, tmp_path):
     (tmp_path / "known.csv").write_text(
         "expected_product_name,expected_setid,expected_excipient,expected_decision,notes\n"
