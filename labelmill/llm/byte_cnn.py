@@ -73,14 +73,14 @@ class ByteNet:
         )
         return _softmax(np.maximum(best + self.w["bias"], 0) @ self.w["out"] + self.w["out_bias"])
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01) -> None:
+    def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 0.01) -> None:
         """Cross-entropy by Adam; classes are weighted to count alike."""
         rng = np.random.default_rng(11)
         counts = np.bincount(labels, minlength=len(self.languages))
         weight = (len(labels) / np.maximum(counts, 1) / len(self.languages)).astype(np.float32)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         step = 0
-        for _ in range(epochs):
+        while step < steps:
             for some in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // batch)):
                 step += 1
                 for k, g in self._gradients(windows[some], labels[some], weight).items():
@@ -189,8 +189,8 @@ def fit(
     return net
 
 
-def with_language(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score of every whole text."""
+def with_language(docs: DataFrame, net: ByteNet | None, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred and score of every whole text, named with ``prefix``."""
     spark = prepare(docs.sparkSession)
     held = spark.sparkContext.broadcast(net)
 
@@ -198,4 +198,4 @@ def with_language(docs: DataFrame, net: ByteNet | None, text: str = "text") -> D
         return known.classify(texts) if known else {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)}
 
     column = text_column("lang_pred string, score double", classify, lambda: held.value)
-    return with_text_column(docs, column, text, ["lang_pred", "score"])
+    return with_text_column(docs, column, text, ["lang_pred", "score"], prefix)

@@ -61,14 +61,20 @@ def text_column(schema: str, worker: Callable[[list[str | None]], dict[str, list
     return column.asNondeterministic()
 
 
-def with_text_column(df: DataFrame, column, text: str, fields: list[str]) -> DataFrame:
-    """``df`` with the fields of ``column(text)``; columns of ``df`` with such names are replaced."""
-    names = {f.lower() for f in fields} | {"_of_text"}
-    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names or c.lower() == text.lower()])
-    made = rest.withColumn("_of_text", column(F.col(text)))
-    return made.select(
-        *[F.col(f"`{c}`") for c in rest.columns if c.lower() not in names], *[F.col(f"_of_text.{f}").alias(f) for f in fields]
-    )
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def with_text_column(df: DataFrame, column, text: str, fields: list[str], prefix: str = "") -> DataFrame:
+    """``df`` with the fields of ``column(text)``, named with ``prefix``; columns of ``df`` with such names are replaced."""
+    names, made = {(prefix + f).lower() for f in fields}, free_prefix(df) + "made"
+    own = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
+    found = df.withColumn(made, column(F.col(text)))
+    return found.select(*own, *[F.col(made)[f].alias(prefix + f) for f in fields])
 
 
 def remainder(key: str | Column, modulus: int) -> Column:

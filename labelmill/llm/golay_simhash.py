@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import drop, keep, prepare, text_column, with_text_column
+from labelmill.llm.common import free_prefix, keep, prepare, text_column, with_text_column
 from labelmill.llm.components import components
 
 SHINGLE = 3
@@ -73,13 +73,13 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with fingerprint_bits (long) of every whole text; null and wordless texts have 0."""
+def with_fingerprint(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with fingerprint_bits (long) of every whole text, named with ``prefix``; null and wordless texts have 0."""
     prepare(docs.sparkSession)
     column = text_column(
         "fingerprint_bits long", lambda texts: {"fingerprint_bits": [_signed(fingerprint(t)) for t in texts]}
     )
-    return with_text_column(docs, column, text, ["fingerprint_bits"])
+    return with_text_column(docs, column, text, ["fingerprint_bits"], prefix)
 
 
 @lru_cache(maxsize=1)
@@ -190,11 +190,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     chosen = found.groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "fingerprint_bits")).alias("first")
     )
-    chosen = chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.fingerprint_bits").alias("_bits"))
-    marked = with_fingerprint(docs, text)
-    kept = marked.join(
-        chosen, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("fingerprint_bits") == F.col("_bits")), "left_semi"
-    )
-    same = Window.partitionBy(doc_id, "fingerprint_bits").orderBy(F.xxhash64(text))
-    kept = kept.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    free = free_prefix(docs)
+    bits, id_, print_, nth = (free + c for c in ("fingerprint_bits", "id", "print", "nth"))
+    chosen = chosen.select(F.col("first.doc_id").alias(id_), F.col("first.fingerprint_bits").alias(print_))
+    marked = with_fingerprint(docs, text, free)
+    kept = marked.join(chosen, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(bits) == F.col(print_)), "left_semi")
+    same = Window.partitionBy(doc_id, bits).orderBy(F.xxhash64(text))
+    return kept.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).drop(nth, bits)

@@ -108,13 +108,13 @@ class AttentionModel:
         z = np.add.reduceat(share[:, None] * h, starts, axis=0)
         return _sigmoid(z @ self.w["out"] + self.w["out_bias"]), z, share, content, gate, sizes
 
-    def fit(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.004) -> None:
+    def fit(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, steps: int = 1800, batch: int = 32, rate: float = 0.004) -> None:
         """Cross-entropy by Adam; both labels weigh alike in the mean of a batch only as far as they occur."""
         rng = np.random.default_rng(3)
         stops = np.append(starts[1:], len(x))
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         step = 0
-        for _ in range(epochs):
+        while step < steps:
             for some in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // batch)):
                 step += 1
                 rows = np.concatenate([np.arange(starts[i], stops[i]) for i in some])
@@ -210,8 +210,8 @@ def fit(
     return model
 
 
-def with_quality(docs: DataFrame, model: AttentionModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 if the score is 0.5 or more) of every whole text."""
+def with_quality(docs: DataFrame, model: AttentionModel | None, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 if the score is 0.5 or more) of every whole text, named with ``prefix``."""
     held = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def score(texts: list[str | None], known: AttentionModel | None) -> dict[str, list]:
@@ -221,7 +221,7 @@ def with_quality(docs: DataFrame, model: AttentionModel | None, text: str = "tex
         return {"score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
     column = text_column("score double, predicted int", score, lambda: held.value)
-    return with_text_column(docs, column, text, ["score", "predicted"])
+    return with_text_column(docs, column, text, ["score", "predicted"], prefix)
 
 
 def _blocks(texts: list[str | None], most: int = 1 << 20) -> list[list[str | None]]:

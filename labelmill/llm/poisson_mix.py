@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import keep
+from labelmill.llm.common import free_prefix, keep
 
 #: A larger mean is drawn as a sum of draws with equal means up to this one.
 PIECE = 500.0
@@ -72,29 +72,29 @@ def rates(
 
 def mix(
     docs: DataFrame, seed: int = 0, weights: Mapping[str, float] | None = None, smoothing: float = 0.5, epochs: float = 1.0,
-    doc_id: str = "doc_id", source: str = "source", text: str = "text",
+    doc_id: str = "doc_id", source: str = "source", text: str = "text", prefix: str = "",
 ) -> DataFrame:
-    """Copies of the rows of ``docs`` in shuffled order, with copy_no (from 1), rate and shuffle_key.
+    """Copies of the rows of ``docs`` in shuffled order, with copy_no (from 1), rate and shuffle_key, named with ``prefix``.
 
     The result is globally ordered by shuffle_key.  Equal rows draw equal
     numbers of copies; a row without an id draws by its text.  Rows of a source
     with rate 0 do not appear.  An empty table gives an empty table; columns of
-    ``docs`` named copy_no, rate or shuffle_key are replaced.
+    ``docs`` with the names of the new ones are replaced.
     """
-    found = rates(docs, weights, smoothing, epochs, source, text)
-    found = found.select(F.col("source").alias("_source"), F.col("rate"))
+    free = free_prefix(docs)
+    name, rate, drawn = free + "source", free + "rate", free + "drawn"
+    found = rates(docs, weights, smoothing, epochs, source, text).select(F.col("source").alias(name), F.col("rate").alias(rate))
     if found.count() <= BROADCAST_SOURCES:
         found = F.broadcast(found)
-    own = [c for c in docs.columns if c.lower() not in ("copy_no", "rate", "shuffle_key")]
     key = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.select(*[F.col(f"`{c}`") for c in own])
-    rows = rows.join(found, F.coalesce(F.col(source), F.lit("")) == F.col("_source")).drop("_source")
-    pieces = F.greatest(F.ceil(F.col("rate") / F.lit(PIECE)), F.lit(1)).cast("int")
+    rows = docs.join(found, F.coalesce(F.col(source), F.lit("")) == F.col(name)).drop(name)
+    pieces = F.greatest(F.ceil(F.col(rate) / F.lit(PIECE)), F.lit(1)).cast("int")
     draw = lambda n, j: n + _inverse_poisson(
-        _uniform(F.lit(str(seed)), key, j.cast("string")), F.col("rate") / pieces
+        _uniform(F.lit(str(seed)), key, j.cast("string")), F.col(rate) / pieces
     )
-    copies = F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), draw)
-    rows = rows.withColumn("_copies", copies).filter("_copies > 0")
-    rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), key, F.col("copy_no").cast("string")))
-    return rows.withColumn("shuffle_key", order).orderBy("shuffle_key")
+    rows = rows.withColumn(drawn, F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), draw)).filter(F.col(drawn) > 0)
+    rows = rows.withColumn(drawn, F.explode(F.sequence(F.lit(1), F.col(drawn))))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), key, F.col(drawn).cast("string")))
+    new = {prefix + "copy_no": F.col(drawn), prefix + "rate": F.col(rate), prefix + "shuffle_key": order}
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    return rows.select(*own, *[c.alias(n) for n, c in new.items()]).orderBy(prefix + "shuffle_key")
