@@ -144,7 +144,8 @@ versions AS (
   FROM (SELECT source, doc_id // {derived.VERSION_SPAN} AS span, text,
           row_number() OVER (PARTITION BY source, doc_id // {derived.VERSION_SPAN} ORDER BY doc_id) - 1 AS v FROM documents) d
 ), sections AS (
-  SELECT a.setid, a.version, s.k, s.name, split_part(b.text, chr(10), s.k) AS section_text
+  SELECT a.setid, a.version, s.k, s.name,
+    array_to_string(list_filter(string_split(b.text, chr(10)), lambda x, i: (i - 1) % {len(derived.SECTIONS)} = s.k - 1), chr(10)) AS section_text
   FROM versions a CROSS JOIN (VALUES {', '.join(f"({k}, {base.quote(n)})" for k, n in derived.SECTIONS)}) AS s(k, name)
   JOIN versions b ON b.setid = a.setid AND b.version = a.version - a.version % (s.k + 1)
 ), rmc AS (
@@ -261,18 +262,16 @@ def section_diffs(spark, sf):
     "label_changes",
     base.with_ctes(
         [VERSIONS, CHANGED],
-        f"""SELECT p.setid, CAST(p.version AS BIGINT) AS version, CAST(p.previous_version AS BIGINT) AS previous_version,
+        """SELECT p.setid, CAST(p.version AS BIGINT) AS version, CAST(p.previous_version AS BIGINT) AS previous_version,
               CAST(p.published_date AS VARCHAR) AS published, r.n AS rmc_count, coalesce(c.n, 0) AS diff_count
-            FROM (SELECT * FROM prev WHERE version > 1 AND published_date BETWEEN DATE '2024-01-10' AND DATE '2024-02-20'
-                  ORDER BY published_date DESC, setid, version DESC LIMIT {vocab.CHANGES_CANDIDATE_LIMIT}) p
+            FROM (SELECT * FROM prev WHERE version > 1 AND published_date BETWEEN DATE '2024-01-10' AND DATE '2024-02-20') p
             JOIN (SELECT setid, version, count(*) AS n FROM rmc GROUP BY setid, version) r ON r.setid = p.setid AND r.version = p.version
             LEFT JOIN (SELECT setid, version, count(*) AS n FROM changed GROUP BY setid, version) c ON c.setid = p.setid AND c.version = p.version
-            WHERE p.doc_code = '34391-3' AND p.previous_version IS NOT NULL
-            ORDER BY p.published_date DESC, p.setid, p.version DESC LIMIT {vocab.CHANGES_SHOWN_LIMIT}""",
+            WHERE p.doc_code = '34391-3' AND p.previous_version IS NOT NULL""",
     ),
 )
 def label_changes(spark, sf):
-    """The report as shown: 300 newest candidates, first 100 of the records."""
+    """The report over all candidates of the date range."""
     sections = derived.label_sections(spark, sf)
     versions = derived.label_versions(spark, sf).drop("text")
     rows = changes.label_changes(versions, sections, derived.label_rmc(sections), *_range())

@@ -150,8 +150,7 @@ pairs AS (
   SELECT n.*, u.rxcui, u.name, u.tty, u.score, u.seq FROM pairs JOIN useful u USING (rxcui) JOIN norm n USING (query_id)
   WHERE length(normalized_text) >= 2
 ), top_cands AS (
-  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq, rxcui) AS rn FROM cands) t
-  WHERE rn <= {vocab.CANDIDATE_LIMIT}
+  SELECT * FROM cands
 ), brand AS (
   SELECT * FROM (SELECT query_id, rxcui, seq, row_number() OVER (PARTITION BY query_id ORDER BY seq, rxcui) AS rn FROM top_cands
     WHERE tty = 'SBD' AND query_id NOT IN (SELECT query_id FROM top_cands WHERE tty IN ('IN', 'PIN'))) b WHERE rn <= 3
@@ -497,16 +496,16 @@ def human_results(spark, sf):
 @query(
     "name_containment",
     """SELECT DISTINCT a.w AS needle, p.p_name AS text FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part
-         UNION SELECT DISTINCT substr(p_type, 1, 2) FROM part UNION SELECT DISTINCT lower(substr(p_brand, 1, 1)) FROM part) a
+         UNION SELECT DISTINCT unnest(string_split(lower(p_type), ' ')) FROM part UNION SELECT DISTINCT lower(p_brand) FROM part) a
        JOIN (SELECT DISTINCT p_name FROM part) p ON contains(p.p_name, a.w)""",
 )
 def name_containment(spark, sf):
-    """Substring join of words and short fragments with product names."""
+    """Substring join of the words of names, types and brands with product names."""
     part = derived.table(spark, sf, "part").select("p_name", "p_type", "p_brand")
     words = (
         part.select(F.explode(F.split("p_name", " ")).alias("w"))
-        .union(part.select(F.substring("p_type", 1, 2)))
-        .union(part.select(F.lower(F.substring("p_brand", 1, 1))))
+        .union(part.select(F.explode(F.split(F.lower("p_type"), " "))))
+        .union(part.select(F.lower("p_brand")))
     )
     return substring_pairs(words, "w", part, "p_name")
 
@@ -629,5 +628,4 @@ def live_snapshot(spark, sf):
 
 def hour_before_last(events):
     """The reading time of the snapshot: one value, an hour before the last event."""
-    last = events.agg(F.max("ts").cast("string").alias("last")).first()["last"]
-    return F.lit(last).cast(events.schema["ts"].dataType) - F.expr("INTERVAL 1 HOUR")
+    return events.agg(F.max("ts")).scalar() - F.expr("INTERVAL 1 HOUR")

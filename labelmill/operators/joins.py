@@ -54,11 +54,8 @@ def substring_pairs(needles: DataFrame, needle: str, texts: DataFrame, text: str
     distinct_texts = texts.select(F.col(text).alias("text")).filter("text is not null").distinct()
     text_grams = distinct_texts.select("text", F.explode(_grams(F.col("text"))).alias("gram"))
     needle_grams = wanted.select("needle", F.explode(_longest_grams(F.col("needle"))).alias("gram"))
-    counts = (
-        text_grams.join(needle_grams.select("gram").distinct(), "gram", "left_semi")
-        .groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    # counted map-side before the join: a common gram is one row per task, not one per text
+    counts = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         needle_grams.join(counts, "gram")
         .groupBy("needle")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from labelmill.functions.text import as_column
 
 SPAN = 1 << 16
+BANDS = 256
 
 
 def first_per_key(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -39,36 +40,56 @@ def number_rows(
 ) -> DataFrame:
     """Row number per key ordered by ``leading`` columns, then integer ``seq``.
 
-    Rows are grouped by (key, leading values, seq span); span sizes are counted
-    with map-side combining and turned into offsets, so that no task ever sorts
-    a whole key.
+    A key is cut into bands at approximate quantiles of the first leading
+    column (a number), and a band into (leading values, seq span) groups; sizes
+    are counted with map-side combining and turned into offsets in two steps,
+    over the groups of a band and over the bands of a key.  So no task sorts a
+    whole key, whether its leading values are few or all distinct.
     """
     lead = [f"_lead{i}" for i in range(len(leading))]
     # sort direction travels with the column; the value itself is the grouping key
     parts = df.select("*", *[c.alias(n) for c, n in zip(leading, lead)]).withColumn(
         "_span", F.expr(f"{seq} div {span}")
     )
-    group = [*keys, *lead, "_span"]
+    cuts = parts.groupBy(*keys).agg(
+        F.percentile_approx(lead[0], [i / BANDS for i in range(1, BANDS)], 20 * BANDS).alias("_cuts")
+    ).select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_cuts")
+    parts = parts.join(cuts, _same([F.col(k) for k in keys], [F.col(f"_of_{k}") for k in keys]))
+    below = F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(lead[0]))
+    parts = parts.withColumn("_band", F.size(below)).drop("_cuts", *[f"_of_{k}" for k in keys])
+    group = [*keys, "_band", *lead, "_span"]
     sizes = parts.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     before = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(*keys, "_band")
         .orderBy(*[F.col(c).asc_nulls_first() for c in lead], F.col("_span"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select(*group, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(*group, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_in_band"))
+    bands = sizes.groupBy(*keys, "_band").agg(F.sum("_size").alias("_held"))
+    lower = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_band").alias("_at"),
+        F.coalesce(F.sum("_held").over(lower), F.lit(0)).alias("_below"),
+    )
+    same = _same([F.col(k) for k in keys] + [F.col("_band")], [F.col(f"_of_{k}") for k in keys] + [F.col("_at")])
+    offsets = offsets.join(bands, same).select(*group, (F.col("_in_band") + F.col("_below")).alias("_before"))
     inside = Window.partitionBy(*group).orderBy(F.col(seq))
     numbered = parts.withColumn("_inside", F.row_number().over(inside))
-    on = [numbered[c].eqNullSafe(offsets[c]) for c in group]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    joined = numbered.join(offsets, condition)
+    joined = numbered.join(offsets, _same([numbered[c] for c in group], [offsets[c] for c in group]))
     return joined.select(
         *[numbered[c] for c in df.columns],
         (F.col("_before") + F.col("_inside")).cast("bigint").alias(name),
     )
 
 
+def _same(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Pairwise equality, NULL being equal to NULL."""
+    condition = F.lit(True)
+    for x, y in zip(a, b):
+        condition = condition & x.eqNullSafe(y)
+    return condition
+
+
 def previous_value(df: DataFrame, key: str, order: str, name: str, span: int = SPAN) -> DataFrame:
     """Add the next lower ``order`` value of the same key (NULL for the lowest).
 

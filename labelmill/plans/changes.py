@@ -110,7 +110,7 @@ def changed_sections(candidates: DataFrame, sections: DataFrame, changes: DataFr
 
 
 def section_diffs(changed: DataFrame) -> DataFrame:
-    """Inline HTML of the word differences; only changed sections reach Python."""
+    """Inline HTML of the word differences of the changed sections."""
     html = changed.withColumn("inline_html", inline_diff("old_text", "new_text"))
     return html.drop("old_text", "new_text").filter("inline_html <> ''")
 
@@ -132,13 +132,14 @@ def label_changes(
     changes: DataFrame,
     start: Column,
     end: Column,
-    candidate_limit: int | None = vocab.CHANGES_CANDIDATE_LIMIT,
-    shown_limit: int | None = vocab.CHANGES_SHOWN_LIMIT,
+    candidate_limit: int | None = None,
+    shown_limit: int | None = None,
     lookback_cutoff: Column | None = None,
 ) -> DataFrame:
     """Report of recent label changes, newest first.
 
-    ``lookback_cutoff`` keeps only labels with a listed change dated since
+    All changes are compared and reported; ``candidate_limit`` and
+    ``shown_limit`` are for pages that show a part.  ``lookback_cutoff`` keeps only labels with a listed change dated since
     then; it is off by default.
     """
     found = recent_candidates(with_previous_version(versions), start, end, candidate_limit)

@@ -159,12 +159,12 @@ def known_positive_outcomes(expected: DataFrame, products: DataFrame, order: Seq
         text.normalize_text(F.coalesce("product_name", F.lit(""))).alias("_name")
     ).agg(F.min(facts).alias("by_name"))
     has_setid = F.col("expected_setid") != ""
-    rows = expected.withColumn(
-        "_name", F.when(~has_setid, text.normalize_text(F.col("expected_product_name")))
-    )
-    rows = rows.join(by_setid, rows["expected_setid"] == by_setid["spl_setid"], "left").drop("spl_setid")
-    rows = rows.join(by_name, "_name", "left")
-    rows = rows.withColumn("found", F.when(has_setid, F.col("by_setid")).otherwise(F.col("by_name")))
+    # each kind is joined on its own key, so that no blank key gathers the other kind
+    coded = expected.filter(has_setid)
+    coded = coded.join(by_setid, F.col("expected_setid") == F.col("spl_setid"), "left").drop("spl_setid")
+    named = expected.filter(~has_setid).withColumn("_name", text.normalize_text(F.col("expected_product_name")))
+    named = named.join(by_name, "_name", "left").drop("_name")
+    rows = coded.withColumnRenamed("by_setid", "found").unionByName(named.withColumnRenamed("by_name", "found"))
     listed = F.coalesce("found.matched_sugar_alcohols", F.lit(""))
     wanted = text.normalize_text(F.col("expected_excipient"))
     members = F.transform(text.split_list(listed), text.normalize_text)

@@ -54,24 +54,20 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
     The folder is the one named by ``spark.checkpoint.dir``.  Only where that
-    is unset (tests, a single machine) a temporary folder is made instead.
+    is unset and driver and executors are one process (tests, a single
+    machine) a temporary folder is made; on a cluster its absence is an error,
+    as executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="labelmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a scan with fewer splits than cores.
-
-    A large input has more splits than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def stage(df: DataFrame, purpose: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

@@ -221,7 +221,10 @@ def label_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five named sections per version; section k changes every k+1 versions."""
+    """Five named sections per version; section k changes every k+1 versions.
+
+    Every line of a text belongs to a section: line n (from 0) to section n % 5 + 1, in order.
+    """
     versions = label_versions(spark, sf_dir)
     named = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name")) for k, n in SECTIONS]))
     wanted = versions.select("setid", "version", named.alias("s")).select(
@@ -231,10 +234,16 @@ def label_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "s.name",
         (F.col("version") - F.col("version") % (F.col("s.k") + 1)).alias("from_version"),
     )
-    texts = versions.select("setid", F.col("version").alias("from_version"), F.split("text", "\n").alias("lines"))
-    return wanted.join(texts, ["setid", "from_version"]).select(
-        "setid", "version", "k", "name", F.coalesce(F.get("lines", F.col("k") - 1), F.lit("")).alias("section_text")
-    )
+    lines = F.split("text", "\n")
+    # cut before the join, so that a row carries the text of its own section only
+    cut = [F.struct(F.lit(k).alias("k"), F.array_join(F.filter(lines, _every(k)), "\n").alias("text")) for k, _ in SECTIONS]
+    texts = versions.select("setid", F.col("version").alias("from_version"), F.explode(F.array(*cut)).alias("t"))
+    texts = texts.select("setid", "from_version", "t.k", F.col("t.text").alias("section_text"))
+    return wanted.join(texts, ["setid", "from_version", "k"]).select("setid", "version", "k", "name", "section_text")
+
+
+def _every(k: int):
+    return lambda line, n: n % len(SECTIONS) == k - 1
 
 
 def label_rmc(sections: DataFrame) -> DataFrame:

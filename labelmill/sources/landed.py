@@ -69,7 +69,7 @@ def _groups(payloads: DataFrame, path: str) -> DataFrame:
     rows = rows.select(*keep, "group_seq", F.col("g.tty").alias("group_tty"), F.posexplode(concepts).alias("item_seq", "c"))
     return rows.select(
         *keep,
-        (F.col("group_seq") * F.lit(100000) + F.col("item_seq")).alias("seq"),
+        F.array("group_seq", "item_seq").alias("seq"),  # compared part by part
         _clean(F.col("c.rxcui")).alias("rxcui"),
         _clean(F.col("c.name")).alias("name"),
         F.coalesce(_clean(F.col("c.tty")), _clean(F.col("group_tty"))).alias("tty"),
@@ -99,10 +99,10 @@ def approximate_concepts(payloads: DataFrame, properties: DataFrame, keys: list[
         F.col("payload"), "$.approximateGroup.candidate", "struct<rxcui:string,name:string,score:string>"
     )
     keep = [c for c in payloads.columns if c != "payload"]
-    rows = payloads.select(*keep, F.posexplode(items).alias("seq", "i"))
+    rows = payloads.select(*keep, F.posexplode(items).alias("item_seq", "i"))
     rows = rows.select(
         *keep,
-        "seq",
+        F.array("item_seq").alias("seq"),
         _clean(F.col("i.rxcui")).alias("rxcui"),
         _clean(F.col("i.name")).alias("_own_name"),
         F.coalesce(F.col("i.score").try_cast("double"), F.lit(0.0)).alias("score"),
@@ -124,7 +124,7 @@ def all_candidates(exact: DataFrame, drugs: DataFrame, approximate: DataFrame) -
     """Union of the three lookups in merge order; ``seq`` keeps it."""
     parts = []
     for i, (source, frame) in enumerate((("exact", exact), ("drugs", drugs), ("approximate", approximate))):
-        order = (F.lit(i).cast("bigint") * 10**9 + F.col("seq")).alias("seq")
+        order = F.concat(F.array(F.lit(i)), F.col("seq")).alias("seq")
         columns = [c for c in frame.columns if c != "seq"]
         parts.append(frame.select(*columns, order, F.lit(source).alias("source")))
     union = parts[0]
