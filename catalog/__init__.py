@@ -1,5 +1,5 @@
 """Registered queries, by area."""
 
-from catalog import documents, indexing, screening, searching, texts, tiering
+from catalog import archived, documents, indexing, screening, searching, texts, tiering
 
-MODULES = [tiering, screening, searching, texts, documents, indexing]
+MODULES = [tiering, screening, searching, texts, documents, indexing, archived]

@@ -47,13 +47,13 @@ def with_ctes(ctes: list[str], body: str) -> str:
 
 
 LINES = f"""
-lines AS (
+lines AS MATERIALIZED (
   SELECT l_partkey, span, nth // {derived.LABEL_SIZE} AS block, nth % {derived.LABEL_SIZE} + 1 AS pos, l_orderkey, l_suppkey
   FROM (SELECT l_partkey, l_orderkey, l_suppkey, l_orderkey // {derived.ORDER_SPAN} AS span,
           row_number() OVER (PARTITION BY l_partkey, l_orderkey // {derived.ORDER_SPAN}
             ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate) - 1 AS nth
         FROM lineitem) x
-), ings AS (
+), ings AS MATERIALIZED (
   SELECT 'set-' || l_partkey || '-' || span || '-' || block AS setid, l_partkey, span, block, pos,
     CASE WHEN pos <= 2 THEN 'active' ELSE 'inactive' END AS ing_role, raw_name,
     CASE WHEN l_suppkey % 11 <> 0 THEN upper(substr(md5(lower(raw_name)), 1, 10)) END AS unii,
@@ -137,7 +137,7 @@ assessed AS (
 )"""
 
 
-ROWS = f"""
+TEXTS = """
 texts AS (
   SELECT setid,
     string_agg(raw_name, '; ' ORDER BY pos) FILTER (ing_role = 'active') AS active_ingredients_raw,
@@ -146,7 +146,9 @@ texts AS (
     string_agg(raw_name, '; ' ORDER BY pos) FILTER (ing_role = 'inactive') AS inactive_ingredients_raw,
     coalesce(string_agg(coalesce(unii, ''), '; ' ORDER BY pos) FILTER (ing_role = 'inactive'), '') AS inactive_ingredients_unii
   FROM ings GROUP BY setid
-),
+)"""
+
+ROWS = f"""{TEXTS},
 stored AS (
   SELECT a.setid AS spl_setid, product_name, labeler, dosage_form, {normalize_text("coalesce(dosage_form, '')")} AS normalized_form,
     form_class, route, {normalize_text("coalesce(route, '')")} AS normalized_route, route_class, ndcs,

@@ -34,10 +34,10 @@ def parsed(spark, sf, parts="all"):
 @query(
     "parsed_records",
     base.with_ctes(
-        [*base.TO_ASSESSED, base.ROWS.replace("WHERE is_human", "")],
-        """SELECT s.spl_setid AS setid, product_name, labeler, dosage_form, nullif(route, '') AS route, ndcs, active_ingredients_raw,
+        [base.LINES, base.RECORDS, base.TEXTS],
+        """SELECT setid, product_name, labeler, dosage_form, nullif(route, '') AS route, ndcs, active_ingredients_raw,
              active_strength, active_ingredients_unii, inactive_ingredients_raw, inactive_ingredients_unii, product_type
-           FROM stored s JOIN (SELECT setid AS spl_setid, product_type FROM records) r USING (spl_setid)""",
+           FROM records JOIN texts USING (setid)""",
     ),
 )
 def parsed_records(spark, sf):
