@@ -373,6 +373,50 @@ asks AS (
 TO_RESULTS = [base.LINES, base.RECORDS, ASKED, NORM_ASKED, CONCEPTS, CANDIDATES, _widened, _lookup]
 
 
+_titles = """
+titles AS (SELECT setid, seq, ndcs, concat_ws(' ', product_name, dosage_form, route) AS title FROM records)"""
+_shop_queries = f"""
+shop AS (SELECT p_partkey AS query_id, p_name || {base.pick(' tablet| oral solution||  syrup oral', 'p_partkey')} AS raw_text FROM part)"""
+_broad = f"""
+broad AS (
+  SELECT query_id, setid, seq, title FROM (
+    SELECT *, coalesce(nullif({base.squash(f"regexp_replace(normalized_text, '\\b({_base_words})\\b', ' ', 'gi')")}, ''), normalized_text) AS base_name
+    FROM norm) n JOIN titles t ON contains(lower(title), lower(base_name))
+  WHERE ndc IS NULL AND normalized_text <> '' AND (requested_dose_form IS NULL OR contains(lower(title), lower(requested_dose_form)))
+    AND (requested_route IS NULL OR contains(lower(title), lower(requested_route)))
+)"""
+TO_BROAD = [base.LINES, base.RECORDS, _titles, _shop_queries, normalized_cte("shop", "query_id, raw_text"), _broad]
+
+
+def _shop(spark, sf):
+    """A query per part, and the listing that they search: titles of all labels."""
+    p = F.col("p_partkey")
+    form = F.split_part(F.lit(" tablet| oral solution||  syrup oral"), F.lit("|"), (p % 4 + 1).cast("int"))
+    asked = derived.table(spark, sf, "part").select(p.alias("query_id"), F.concat("p_name", form).alias("raw_text"))
+    title = F.concat_ws(" ", "product_name", "dosage_form", "route")
+    listings = records(spark, sf).withColumn("product_name", title).select(*search.RESULT_COLUMNS)
+    return asked, listings
+
+
+@query("broad_search", base.with_ctes(TO_BROAD, "SELECT query_id, setid, title AS product_name FROM broad"))
+def broad_search(spark, sf):
+    """Base name search with title filter; queries grow with the data."""
+    return search.broad_search(*_shop(spark, sf)).select("query_id", "setid", "product_name")
+
+
+@query(
+    "merged_search",
+    base.with_ctes(
+        TO_BROAD, "SELECT query_id, setid, CASE WHEN seq % 3 = 0 THEN 'local' ELSE 'live' END AS source FROM broad"
+    ),
+)
+def merged_search(spark, sf):
+    """A local index of a third of the parts before the live listing of all."""
+    asked, listings = _shop(spark, sf)
+    local = search.broad_search(asked, listings.filter("seq % 3 = 0"))
+    return search.merged_search(local, search.broad_search(asked, listings)).select("query_id", "setid", "source")
+
+
 @query(
     "product_lookup",
     base.with_ctes(
