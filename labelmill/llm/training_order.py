@@ -18,7 +18,7 @@ before it as they are).
 A null text counts as empty; an empty text has one sequence without ids, so
 every row appears.  A null id is stored as the smallest long.  Rows with equal
 ids share a slot and follow each other, ordered by their ids' bytes.  An empty
-table gives no shards and an empty result.
+table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ NO_ID = -(1 << 63)
 ROUNDS = 6
 #: Bytes of text that a shard holds in the mean.
 SHARD_BYTES = 24 << 20
+#: Rows of a manifest (24 bytes each) that are broadcast.
+BROADCAST_SHARDS = 1_000_000
 #: Fixed value: how the rank file's vocabulary splits text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RESULT = "shard int, row long, doc_id long, seq_no int, n_tokens int, ids_sha256 string"
@@ -92,9 +94,7 @@ def write_shards(
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.octet_length("text")
     low, high, most, total = own.agg(F.min("doc_id"), F.max("doc_id"), F.max(size), F.sum(size)).first()
-    if most is None:
-        return 0
-    low, high = (0, 0) if low is None else (low, high)
+    low, high, most, total = low or 0, high or 0, most or 0, total or 0
     per_doc = max(1, -(-most // length))
     permutation = Permutation(key, (high - low + 1) * per_doc)
     shards = max(1, total // SHARD_BYTES)
@@ -138,9 +138,8 @@ def write_shards(
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").schema(
-        "path string, modificationTime timestamp, length long, content binary, shard int"
-    ).load(path)
+    files = spark.read.format("binaryFile").load(path)  # the shard is in the folders' names
+    return files if "shard" in files.columns else files.withColumn("shard", F.lit(0))
 
 
 def manifest(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
@@ -164,6 +163,8 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, start: int
     wide = stride(length)
     firsts = manifest(spark, path, length)
     wanted = firsts.filter(F.col("first") + F.col("records") > start).select("shard", "first")
+    if wanted.count() <= BROADCAST_SHARDS:
+        wanted = F.broadcast(wanted)  # else the shards' contents would be shuffled to meet one number each
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
