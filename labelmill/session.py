@@ -24,6 +24,9 @@ SETTINGS = {
 }
 
 
+_SCRATCH: list[str] = []
+
+
 def build_session(master: str | None = None, app: str = "labelmill", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -65,7 +68,22 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="labelmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of any file system that Spark knows."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch folders of this process, once nothing reads them any more."""
+    delete(spark, *_SCRATCH)
+    _SCRATCH.clear()
 
 
 def stage(df: DataFrame, purpose: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -364,45 +364,32 @@ CHANGES_SHOWN_LIMIT = 100
 # --- Fixed values: drug names commonly formulated as oral liquids ------------
 
 LIQUID_DRUGS = [
-    # analgesics / opioids
     "acetaminophen", "ibuprofen", "oxycodone", "hydrocodone", "morphine",
     "codeine", "tramadol", "methadone", "buprenorphine", "naloxone",
-    # antibiotics
     "amoxicillin", "ampicillin", "azithromycin", "cephalexin", "cefdinir",
     "cefprozil", "cefuroxime", "clarithromycin", "clindamycin", "erythromycin",
     "metronidazole", "nitrofurantoin", "penicillin", "sulfamethoxazole",
     "trimethoprim", "doxycycline", "levofloxacin", "linezolid",
-    # antifungals / antivirals
     "fluconazole", "nystatin", "itraconazole", "valganciclovir", "acyclovir",
     "oseltamivir", "ribavirin",
-    # gastrointestinal
     "omeprazole", "lansoprazole", "ranitidine", "famotidine", "metoclopramide",
     "ondansetron", "lactulose", "bismuth", "simethicone", "magnesium hydroxide",
     "aluminum hydroxide", "sucralfate",
-    # respiratory / allergy / cough
     "guaifenesin", "dextromethorphan", "promethazine", "diphenhydramine",
     "hydroxyzine", "chlorpheniramine", "cetirizine", "loratadine", "fexofenadine",
-    # psychiatric
     "risperidone", "haloperidol", "aripiprazole", "lithium", "sertraline",
     "fluoxetine", "fluphenazine", "thioridazine",
-    # antiepileptics
     "levetiracetam", "carbamazepine", "oxcarbazepine", "valproic acid",
     "phenytoin", "phenobarbital", "diazepam", "lorazepam", "clonazepam",
     "zonisamide", "lacosamide",
-    # cardiovascular
     "digoxin", "captopril", "enalapril", "propranolol", "metoprolol",
     "hydralazine", "furosemide", "spironolactone", "amlodipine",
-    # vitamins / minerals
     "ferrous sulfate", "potassium chloride", "zinc sulfate", "folic acid",
     "cyanocobalamin", "vitamin d", "iron",
-    # steroids
     "prednisolone", "dexamethasone", "prednisone", "budesonide",
     "methylprednisolone", "hydrocortisone",
-    # diabetes
     "metformin", "glipizide",
-    # transplant / immunosuppression
     "tacrolimus", "cyclosporine", "mycophenolate",
-    # other
     "megestrol", "baclofen", "loperamide", "levothyroxine", "potassium iodide",
     "caffeine", "theophylline",
 ]

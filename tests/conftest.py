@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from labelmill.session import build_session  # noqa: E402
+from labelmill.session import build_session, drop_scratch  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -24,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

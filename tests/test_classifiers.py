@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from labelmill.operators import classify, match
 from labelmill.plans import quality
 
+# --- Fixed values: the cases of the form, route and matcher checks ---------------
 FORM_CASES = [
     ("SOLUTION", "strong"), ("SUSPENSION", "strong"), ("SYRUP", "strong"), ("ELIXIR", "strong"),
     ("CONCENTRATE", "strong"), ("ORAL DROPS", "strong"), ("ORAL SOLUTION", "strong"), ("ORAL SUSPENSION", "strong"),
