@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from labelmill.session import scratch_dir, ship
+from labelmill.session import delete, scratch_dir, ship
 
 #: Bytes of one Arrow batch; a batch holds one row at least, so a long text stays alone.
 ARROW_BYTES = 8 << 20
@@ -38,9 +38,7 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._kept_at)
 
 
 def text_column(schema: str, worker: Callable[[list[str | None]], dict[str, list]], make: Callable[[], object] | None = None):
