@@ -417,6 +417,28 @@ def merged_search(spark, sf):
     return search.merged_search(local, search.broad_search(asked, listings)).select("query_id", "setid", "source")
 
 
+@query(
+    "expanded_products",
+    base.with_ctes(
+        [base.LINES, base.RECORDS],
+        """SELECT DISTINCT p_partkey AS query_id, setid, product_name FROM part
+             JOIN records ON seq - seq % 5 = p_partkey - p_partkey % 5 OR seq = p_partkey + 3""",
+    ),
+)
+def expanded_products(spark, sf):
+    """Products by concept id: every part asks for two concepts, a product has that of its family of parts, or its own."""
+    p = F.col("p_partkey")
+    part = derived.table(spark, sf, "part")
+    family = F.concat(F.lit("f"), (p - p % 5).cast("string"))
+    own = F.concat(F.lit("c"), (p + 3).cast("string"))
+    candidates = part.select(p.alias("query_id"), F.explode(F.array(family, own)).alias("rxcui"))
+    rows = records(spark, sf).select(*search.RESULT_COLUMNS)
+    ids = F.array(F.concat(F.lit("f"), (F.col("seq") - F.col("seq") % 5).cast("string")), F.concat(F.lit("c"), F.col("seq").cast("string")))
+    products = rows.withColumn("rxcui", F.explode(ids))
+    found = search.expand_candidates(candidates, products, ["seq", "setid", "rxcui"])
+    return found.select("query_id", "setid", "product_name")
+
+
 @query(
     "product_lookup",
     base.with_ctes(
