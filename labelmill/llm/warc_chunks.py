@@ -4,8 +4,9 @@ A payload is cut into chunks of ``CHUNK`` bytes.  A chunk is a row (record,
 chunk number) and becomes one WARC record: the first a ``response``, the others
 ``continuation`` segments of it, as the format provides for oversized payloads.
 So no writer, reader or archive member ever holds more than a chunk, and
-archives stay small however large a payload is.  The reader hashes the chunks
-of a record one after the other as they arrive in order.
+archives stay small however large a payload is.  The reader hashes a record
+of one chunk where it is read; longer ones are brought together by record,
+sorted by chunk number, and hashed one chunk after the other as they arrive.
 
 Each WARC record is a gzip member, as is usual.  Spark's text writer writes a
 row's bytes as they are and a separator after them; the last byte of a member
@@ -41,7 +42,7 @@ READ_AT_ONCE = 64 << 10
 CHUNKS = (
     "page_id long, payload_digest string, payload_bytes long, record_type string, refers_to long, chunk_no int, chunks int, member binary"
 )
-PARTS = "record string, chunk_no int, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, data binary"
+PARTS = "record string, chunk_no int, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, data binary, verified boolean"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -195,8 +196,11 @@ def _page(name: str) -> int | None:
     return int(number) if number else None
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunked record table of the archives under ``path``: a row per chunk, with its payload bytes."""
+def read_chunks(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The chunked record table of the archives under ``path``: a row per chunk, with its payload bytes.
+
+    Without ``payloads``, the payload of a record of one chunk is left out; it is verified where it was read.
+    """
     prepare(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +208,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows, held = [], 0
                 for header, block in _records(memoryview(content.as_buffer())):
-                    rows.append(_chunk(header, block))
+                    rows.append(_chunk(header, block, payloads))
                     held += len(block)
                     if held >= 4 << 20:
                         yield _parts(rows)
@@ -216,19 +220,23 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(parse, PARTS)
 
 
-def _chunk(header: dict[str, str], block: bytes) -> tuple:
+def _chunk(header: dict[str, str], block: bytes, payloads: bool) -> tuple:
     n = int(header.get("WARC-Segment-Number", 1))
     if n > 1:
-        return (header["WARC-Segment-Origin-ID"], n, None, None, None, None, None, block)
+        return (header["WARC-Segment-Origin-ID"], n, None, None, None, None, None, block, False)
     name, kind = header["WARC-Record-ID"], header["WARC-Type"]
     at = block.index(b"\r\n\r\n") + 4
     total = int(re.search(rb"\r\nContent-Length: (\d+)", block[:at])[1])
     refers = _page(header["WARC-Refers-To"]) if kind == "revisit" else None
-    return (name, 1, _page(name), total, header["WARC-Payload-Digest"].removeprefix("sha1:"), kind, refers, block[at:])
+    row = (name, 1, _page(name), total, header["WARC-Payload-Digest"].removeprefix("sha1:"), kind, refers)
+    if payloads or "WARC-Segment-Number" in header:
+        return (*row, block[at:], False)
+    _finished(row, hashlib.sha1(block[at:]), len(block) - at)
+    return (*row, None, True)
 
 
 def _parts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
     names = [f.split()[0] for f in PARTS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
@@ -239,7 +247,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     Length and digest of a response are computed from its chunks, one at a time
     in order; a mismatch with what its header states is an error.
     """
-    chunks = read_chunks(spark, path)
+    chunks = read_chunks(spark, path, payloads=False)
     ordered = chunks.repartition("record").sortWithinPartitions("record", "chunk_no")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +262,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if row[1] == last:
                     continue  # the same chunk of an equal record
                 last = row[1]
-                digest.update(row[7])
-                size += len(row[7])
+                if not row[8]:
+                    digest.update(row[7])
+                    size += len(row[7])
             if len(done) >= 4096:
                 yield _results(done)
                 done = []
@@ -268,8 +277,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _finished(head: tuple, digest, size: int) -> tuple:
-    _, _, page_id, total, stated, kind, refers, _ = head
-    if kind == "response":
+    _, _, page_id, total, stated, kind, refers = head[:7]
+    if kind == "response" and not (len(head) > 8 and head[8]):
         own = base64.b32encode(digest.digest()).decode("ascii")
         if (own, size) != (stated, total):
             raise ValueError(f"record {head[0]} does not have the payload that its header states")
