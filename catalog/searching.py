@@ -12,6 +12,7 @@ from labelmill.operators import match
 from labelmill.operators.joins import substring_pairs
 from labelmill.plans import concepts as concept_plans
 from labelmill.plans import search
+from labelmill.session import stage
 from labelmill.sources import derived
 
 QUERIES: dict = {}
@@ -288,7 +289,8 @@ def concept_ranking(spark, sf):
 def resolved_concepts(spark, sf):
     normalized = queries.normalize_queries(derived.search_queries(spark))
     candidates = concept_plans.token_candidates(normalized, derived.concepts(spark, sf))
-    out = concept_plans.resolve(normalized, candidates, derived.concept_relations(spark, sf))
+    scored = concept_plans.scored_candidates(normalized, candidates, derived.concept_relations(spark, sf))
+    out = concept_plans.rank(stage(scored, "scored"))
     return out.select("query_id", "rxcui", "name", "tty", F.round("rank_score", 6).alias("rank_score"), "rank")
 
 
@@ -394,7 +396,7 @@ def _shop(spark, sf):
     form = F.split_part(F.lit(" tablet| oral solution||  syrup oral"), F.lit("|"), (p % 4 + 1).cast("int"))
     asked = derived.table(spark, sf, "part").select(p.alias("query_id"), F.concat("p_name", form).alias("raw_text"))
     title = F.concat_ws(" ", "product_name", "dosage_form", "route")
-    listings = records(spark, sf).withColumn("product_name", title).select(*search.RESULT_COLUMNS)
+    listings = stage(records(spark, sf).withColumn("product_name", title).select(*search.RESULT_COLUMNS), "listings")
     return asked, listings
 
 
@@ -449,10 +451,13 @@ def product_lookup(spark, sf):
     return search.search(derived.search_queries(spark), records(spark, sf)).select("query_id", "setid", "product_name")
 
 
-def _results(spark, sf):
-    return search.search(
-        derived.search_queries(spark), records(spark, sf), derived.concepts(spark, sf), derived.concept_relations(spark, sf)
-    )
+def _results(spark, sf, rows):
+    return search.search(derived.search_queries(spark), rows, derived.concepts(spark, sf), derived.concept_relations(spark, sf))
+
+
+def _staged_records(spark, sf):
+    """The product records, written once for the several lookups of a search, which each read a few columns."""
+    return stage(records(spark, sf), "records")
 
 
 @query(
@@ -462,7 +467,7 @@ def _results(spark, sf):
     ),
 )
 def search_results(spark, sf):
-    return _results(spark, sf).select("query_id", "pass", "setid", "product_name")
+    return _results(spark, sf, _staged_records(spark, sf)).select("query_id", "pass", "setid", "product_name")
 
 
 INCLUDE, EXCLUDE = "PEG; glycerol, D-Sorbitol", "red dye\nsucrose"
@@ -537,7 +542,8 @@ def filter_terms(spark, sf):
 )
 def excipient_comparison(spark, sf):
     """Search, widen by ingredient, compare inactive ingredients of every hit."""
-    rows = search.comparison_rows(_results(spark, sf), records(spark, sf), INCLUDE, EXCLUDE)
+    products = _staged_records(spark, sf)
+    rows = search.comparison_rows(_results(spark, sf, products), products, INCLUDE, EXCLUDE)
     return rows.select(
         "query_id", "setid", "product_name", "labeler", "dosage_form", "route", F.array_join("ndcs", "; ").alias("ndcs"),
         "strength_summary", "inactive_ingredients_raw",
