@@ -36,6 +36,8 @@ TABLES = 10
 PROBES = 20
 MEAN_BUCKET = 100
 SPLIT = 4096
+#: Crowded buckets (16 bytes each) that are broadcast.
+BROADCAST_BUCKETS = 500_000
 SEED = 17
 HITS = "q1 long, q2 long, v1 long, v2 long, score double"
 
@@ -159,37 +161,44 @@ def _hits(entries: DataFrame, longest: int, count: int, nearest: int, tables: in
     width = 1 << max(0, longest - 1).bit_length()
     index = Tables(width, count, tables)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                h1, h2, asked = part.column(0).to_numpy(), part.column(1).to_numpy(), np.array(part.column(3).to_pylist()) == True  # noqa: E712
-                units = _unit(_matrix(part.column(2), width, np.float64)).astype(np.float32)
-                own = index.keys(units, 1)[:, :, 0]
-                yield _keyed(own.ravel(), np.repeat(np.arange(len(own)), tables), h1, h2, part.column(2), False)
-                if asked.any():
-                    at = np.flatnonzero(asked)
-                    looked = index.keys(units[at], probes)
-                    who, _, _ = np.nonzero(looked >= 0)
-                    yield _keyed(looked[looked >= 0], at[who], h1, h2, part.column(2), True)
-
-    schema = f"key long, query boolean, h1 long, h2 long, v {dict(entries.dtypes)['v']}"
-    keyed = entries.select("h1", "h2", "v", "asked").mapInArrow(emit, schema)
-    # large buckets are dealt out: entries in pieces, queries in pieces, every piece of one meets every piece of the other
-    sizes = entries.select("h1", "h2", "v", "asked").mapInArrow(emit, schema).groupBy("key").agg(
-        F.count_if(~F.col("query")).alias("entries"), F.count_if("query").alias("queries")
-    )
-    useful = sizes.filter("queries > 0").select(
-        F.col("key").alias("_key"), F.ceil(F.col("entries") / SPLIT).cast("int").alias("ep"), F.ceil(F.col("queries") / SPLIT).cast("int").alias("qp")
+    def keyed(with_vectors: bool) -> DataFrame:
+        """Bucket keys of entries (their own) and of queries (those they look into)."""
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    names = (part.column(0).to_numpy(), part.column(1).to_numpy())
+                    units = _unit(_matrix(part.column(2), width, np.float64)).astype(np.float32)
+                    own = index.keys(units, 1)[:, :, 0]
+                    rows = np.repeat(np.arange(len(own)), tables)
+                    yield _keyed(own.ravel(), rows, names, part.column(2) if with_vectors else None, False)
+                    at = np.flatnonzero(part.column(3).fill_null(False).to_numpy(zero_copy_only=False))
+                    if len(at):
+                        looked = index.keys(units[at], probes)
+                        rows = at[np.nonzero(looked >= 0)[0]]
+                        yield _keyed(looked[looked >= 0], rows, names, part.column(2) if with_vectors else None, True)
+
+        more = f", h1 long, h2 long, v {dict(entries.dtypes)['v']}" if with_vectors else ""
+        return entries.select("h1", "h2", "v", "asked").mapInArrow(emit, "key long, query boolean" + more)
+
+    # crowded buckets are dealt out: every piece of the entries meets every piece of the queries
+    crowded = keyed(False).groupBy("key").agg(F.count_if(~F.col("query")).alias("entries"), F.count_if("query").alias("queries"))
+    crowded = crowded.select(
+        F.col("key").alias("_key"),
+        F.greatest(F.ceil(F.col("entries") / SPLIT), F.lit(1)).cast("int").alias("ep"),
+        F.greatest(F.ceil(F.col("queries") / SPLIT), F.lit(1)).cast("int").alias("qp"),
     )
-    placed = keyed.join(useful, F.col("key") == F.col("_key")).drop("_key")
-    own = F.pmod(F.xxhash64("h1", "h2"), F.when(F.col("query"), F.col("qp")).otherwise(F.greatest("ep", F.lit(1)))).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("query"), F.greatest("ep", F.lit(1))).otherwise(F.col("qp")) - 1)
+    crowded = keep(crowded.filter("ep > 1 or qp > 1"), "crowded")
+    if crowded.count() <= BROADCAST_BUCKETS:
+        crowded = F.broadcast(crowded)
+    placed = keyed(True).join(crowded, F.col("key") == F.col("_key"), "left").drop("_key").na.fill(1, ["ep", "qp"])
+    own = F.pmod(F.xxhash64("h1", "h2"), F.when(F.col("query"), F.col("qp")).otherwise(F.col("ep"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("query"), F.col("ep")).otherwise(F.col("qp")) - 1)
     placed = placed.withColumn("own", own).withColumn("other", F.explode(others))
-    piece = F.when(F.col("query"), F.struct(F.col("other").alias("e"), F.col("own").alias("q"))).otherwise(
-        F.struct(F.col("own").alias("e"), F.col("other").alias("q"))
-    )
-    placed = placed.select("key", piece["e"].alias("e"), piece["q"].alias("q"), "query", "h1", "h2", "v")
+    e = F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("e")
+    q = F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("q")
+    placed = placed.select("key", e, q, "query", "h1", "h2", "v")
     ordered = placed.repartition("key", "e", "q").sortWithinPartitions("key", "e", "q", F.desc("query"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +220,11 @@ def _hits(entries: DataFrame, longest: int, count: int, nearest: int, tables: in
     return ordered.mapInArrow(meet, HITS)
 
 
-def _keyed(keys: np.ndarray, rows: np.ndarray, h1: np.ndarray, h2: np.ndarray, vectors: pa.Array, query: bool) -> pa.RecordBatch:
-    columns = [pa.array(keys), pa.array(np.full(len(keys), query)), pa.array(h1[rows]), pa.array(h2[rows]), vectors.take(pa.array(rows))]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "query", "h1", "h2", "v"])
+def _keyed(keys: np.ndarray, rows: np.ndarray, names: tuple, vectors: pa.Array | None, query: bool) -> pa.RecordBatch:
+    columns = {"key": pa.array(keys), "query": pa.array(np.full(len(keys), query))}
+    if vectors is not None:
+        columns |= {"h1": pa.array(names[0][rows]), "h2": pa.array(names[1][rows]), "v": vectors.take(pa.array(rows))}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 class _Best:
