@@ -42,6 +42,8 @@ NO_ID = -(1 << 63)
 ROUNDS = 6
 #: Bytes of text that a shard holds in the mean.
 SHARD_BYTES = 24 << 20
+#: Most tasks that write shards; more shards share tasks.
+MOST_TASKS = 100_000
 #: Rows of a manifest (24 bytes each) that are broadcast.
 BROADCAST_SHARDS = 1_000_000
 #: Fixed value: how the rank file's vocabulary splits text.
@@ -132,7 +134,8 @@ def write_shards(
                 )
 
     rows = own.mapInArrow(cut, "shard int, slot long, record binary")
-    placed = rows.repartition("shard").sortWithinPartitions("shard", "slot", "record")
+    # parallelism follows the data: twice as many partitions as shards, so that few hold more than one
+    placed = rows.repartition(min(2 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "slot", "record")
     placed.select("shard", F.col("record").cast("string").alias("record")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     return int(shards)
 
