@@ -35,7 +35,7 @@ from labelmill.llm.common import prepare, text_column, with_text_column
 CACHED_WORDS = 200_000
 #: Characters of the texts whose new words share merge rounds.
 BLOCK_CHARS = 1 << 20
-NEVER = np.int64(1 << 40)
+NEVER = np.int32((1 << 31) - 1)
 
 
 def byte_characters() -> list[str]:
@@ -69,7 +69,7 @@ class Vocabulary:
         right = np.array([ids[b] for _, b in pairs], dtype=np.int64)
         made = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(left * self.width + right, kind="stable")
-        self.keys, self.ranks, self.made = (left * self.width + right)[order], order.astype(np.int64), made[order]
+        self.keys, self.ranks, self.made = (left * self.width + right)[order], order.astype(np.int32), made[order]
         # the last rank that makes a token must come before the first that uses it
         ranks, makes, uses = np.arange(len(pairs)), np.full(self.width, -1), np.full(self.width, NEVER)
         np.maximum.at(makes, made, ranks)
@@ -78,49 +78,49 @@ class Vocabulary:
         self.ordered = bool((makes < uses).all())
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each non-empty word."""
+        """Ids of each non-empty word.
+
+        The rank of every adjacent pair is kept; a round looks up only those
+        that its merges changed, so that a very long word costs little a round.
+        """
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         symbols = self.inner[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        ends = np.cumsum(sizes)
-        symbols[ends - 1] = self.last[np.frombuffer(b"".join(w[-1:] for w in words), dtype=np.uint8)]
-        owner = np.repeat(np.arange(len(words)), sizes)
+        symbols[np.cumsum(sizes) - 1] = self.last[np.frombuffer(b"".join(w[-1:] for w in words), dtype=np.uint8)]
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        rank, made = np.full(len(symbols), NEVER), np.zeros(len(symbols), dtype=np.int32)
+        self._look_up(np.arange(len(symbols)), symbols, owner, rank, made)
         done: list[np.ndarray | None] = [None] * len(words)
         while len(symbols):
-            at, rank, made = self._pairs(symbols, owner)
-            starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            alive = np.zeros(len(starts), dtype=bool)
-            group = np.cumsum(np.diff(owner, prepend=-1) != 0) - 1
-            alive[group[at]] = True
-            if not alive.all():
-                for g in np.flatnonzero(~alive):
-                    stop = starts[g + 1] if g + 1 < len(starts) else len(owner)
-                    done[owner[starts[g]]] = symbols[starts[g] : stop]
-                stay = alive[group]
-                moved = np.cumsum(stay) - 1
-                symbols, owner, at = symbols[stay], owner[stay], moved[at]
+            starts = np.append(0, np.flatnonzero(owner[1:] != owner[:-1]) + 1)
+            best = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(symbols)))
+            if (best == NEVER).any():
+                for g in np.flatnonzero(best == NEVER):
+                    done[owner[starts[g]]] = symbols[starts[g] : starts[g] + sizes[g]].copy()
+                stay = np.repeat(best != NEVER, sizes)
+                symbols, owner, rank, made = symbols[stay], owner[stay], rank[stay], made[stay]
+                best, sizes = best[best != NEVER], sizes[best != NEVER]
                 if not len(symbols):
                     break
-                group = np.cumsum(np.diff(owner, prepend=-1) != 0) - 1
-            best = np.full(group[-1] + 1, NEVER)
-            np.minimum.at(best, group[at], rank)
-            chosen = rank == best[group[at]]
-            at, made = at[chosen], made[chosen]
-            first = _non_overlapping(at) if self.ordered else np.diff(group[at], prepend=-1) != 0
-            at, made = at[first], made[first]
-            symbols[at] = made
+            at = np.flatnonzero(rank == np.repeat(best, sizes))
+            at = at[_non_overlapping(at) if self.ordered else np.diff(owner[at], prepend=-1) != 0]
+            symbols[at] = made[at]
             stay = np.ones(len(symbols), dtype=bool)
             stay[at + 1] = False
-            symbols, owner = symbols[stay], owner[stay]
+            symbols, owner, rank, made = symbols[stay], owner[stay], rank[stay], made[stay]
+            at -= np.arange(len(at))  # every merge before it took a symbol away
+            self._look_up(np.unique(np.concatenate([at, np.maximum(at - 1, 0)])), symbols, owner, rank, made)
         return done
 
-    def _pairs(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where known pairs begin, their ranks and what they make."""
-        same = np.flatnonzero(owner[:-1] == owner[1:])
-        keys = symbols[same] * self.width + symbols[same + 1]
+    def _look_up(self, at: np.ndarray, symbols: np.ndarray, owner: np.ndarray, rank: np.ndarray, made: np.ndarray) -> None:
+        """Set rank (NEVER for an unknown one) and outcome of the pairs that begin at ``at``."""
+        rank[at] = NEVER
+        at = at[at + 1 < len(symbols)]
+        at = at[owner[at] == owner[at + 1]]
+        keys = symbols[at] * self.width + symbols[at + 1]
         found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         hit = self.keys[found] == keys
-        found = found[hit]
-        return same[hit], self.ranks[found], self.made[found]
+        rank[at[hit]], made[at[hit]] = self.ranks[found[hit]], self.made[found[hit]]
 
 
 def _non_overlapping(at: np.ndarray) -> np.ndarray:
