@@ -173,14 +173,15 @@ def fit(
     # of each language, the share of the hash range that holds per_lang documents in the mean
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, per_lang / r["count"]))])
     place = F.xxhash64(F.col(doc_id)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    chosen = known.filter(place < F.element_at(share, F.col(lang))).limit(3 * per_lang * len(counts))
+    chosen = known.filter(place < F.element_at(share, F.col(lang)))
 
     @pandas_udf("array<binary>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(_sample_windows)
 
     rows = chosen.select(F.col(lang).alias("lang"), F.explode(cut(F.col(text))).alias("window"))
-    rows = sorted((r["lang"], bytes(r["window"])) for r in rows.collect())
+    # windows are cut before they meet; the limit binds only where many rows share an id
+    rows = sorted((r["lang"], bytes(r["window"])) for r in rows.limit(3 * WINDOWS_OF_ONE * per_lang * len(counts)).collect())
     languages = sorted({r[0] for r in rows})
     if not languages:
         return None

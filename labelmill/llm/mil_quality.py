@@ -188,10 +188,10 @@ def fit(
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(_sample_passages)
 
-    # max_docs rows at most are broadcast
+    # max_docs rows at most are broadcast; passages are cut before they meet; the limit binds only where many rows share an id
     found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
-    found = found.join(F.broadcast(known), F.col("_doc") == F.col("_labelled")).limit(2 * max_docs)
-    rows = [(r[0], r[1], [bytes(p) for p in r[2]]) for r in found.select("_doc", "_label", cut(F.col("_text"))).collect()]
+    found = found.join(F.broadcast(known), F.col("_doc") == F.col("_labelled")).select("_doc", "_label", cut(F.col("_text")))
+    rows = [(r[0], r[1], [bytes(p) for p in r[2]]) for r in found.limit(2 * max_docs).collect()]
     if not rows:
         return None
     rows.sort()
