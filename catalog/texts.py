@@ -144,11 +144,13 @@ cleaned AS (
 )
 def narrative_ingredients(spark, sf):
     """Every document read as an ingredient narrative, whole texts."""
-    docs = derived.table(spark, sf, "documents").select("doc_id", "text")
+    # the one shuffle, by document, comes before the costly rules: they are spread whatever the splits of the
+    # scan, and a document's pieces are grouped where they are
+    docs = derived.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
     rows = docs.select("doc_id", F.posexplode(ingredients.split_candidates(F.col("text"))).alias("pos", "piece"))
     entry = ingredients.build_entry(F.col("piece"), "narrative_text", "inactive")
     rows = rows.withColumn("e", entry).filter("e IS NOT NULL")
-    # first piece per (document, name, unii): a map-side combined minimum, not an array scan per document
+    # first piece per (document, name, unii): grouped where the document's pieces are, not an array scan per document
     first = F.min(F.struct("pos", "e.raw_name", "e.normalized_name", "e.strength")).alias("first")
     rows = rows.groupBy("doc_id", F.col("e.display_name").alias("display_name"), F.coalesce("e.unii", F.lit("")).alias("unii")).agg(first)
     return rows.select(
@@ -170,7 +172,7 @@ def narrative_ingredients(spark, sf):
     ),
 )
 def named_entries(spark, sf):
-    docs = derived.table(spark, sf, "documents").select("doc_id", "text")
+    docs = derived.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
     rows = docs.select("doc_id", F.explode(ingredients.split_candidates(F.col("text"))).alias("piece"))
     rows = rows.withColumn("name", F.lower(ingredients.cleanup_name(F.col("piece"))))
     return rows.groupBy("doc_id").agg(
