@@ -47,26 +47,33 @@ BUCKET = 64
 COUNTED = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a whole text: majority bits of the hashes of its word shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a whole text, in blocks; a shorter text is one shingle, a wordless one has none."""
     words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z only, ASCII white space
     if not words:
-        return 0
+        return
     joined, ends, at = b" ".join(words), [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
-    size = min(SHINGLE, len(words))
+    size = min(shingle, len(words))
     starts = [0, *[e + 1 for e in ends[: len(ends) - size]]]
     stops = ends[size - 1 :]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
     for lo in range(0, len(starts), COUNTED):
-        hashes = np.fromiter(
+        yield np.fromiter(
             (digest(joined[s:e], SEED) for s, e in zip(starts[lo : lo + COUNTED], stops[lo : lo + COUNTED])),
             dtype="<u8",
         )
+
+
+def fingerprint(text: str | None) -> int:
+    """SimHash of a whole text: majority bits of the hashes of its word shingles."""
+    count, ones = 0, np.zeros(64, dtype=np.int64)
+    for hashes in shingle_hashes(text):
+        count += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(starts)))
+    return sum(1 << int(b) for b in np.flatnonzero(2 * ones > count))
 
 
 def _signed(value: int) -> int:
