@@ -6,7 +6,9 @@ joins the hash of one rotation over all axes with the hash of another over as
 few axes as make the mean bucket hold ``MEAN_BUCKET`` vectors, whatever the
 number of vectors.  A query looks into the bucket of its own key and into the
 next likely ones; all vectors found are reranked by exact cosine in double
-precision.
+precision.  How many buckets it looks into is at least ``PROBES`` and grows
+until the true neighbours of ``SAMPLE`` queries, found by brute force at run
+time, lie in them with a share of ``AIM``; looking into all is the bound.
 
 Every vector is indexed.  Equal vectors are one entry with their smallest ids
 (one more than are asked for, as a query leaves itself out), so copies neither
@@ -35,6 +37,9 @@ from labelmill.llm.common import keep, prepare
 TABLES = 10
 PROBES = 20
 MEAN_BUCKET = 100
+#: Queries of which the true neighbours are found to choose the probes, and their share to be found.
+SAMPLE = 200
+AIM = 0.95
 SPLIT = 4096
 #: Crowded buckets (16 bytes each) that are broadcast.
 BROADCAST_BUCKETS = 500_000
@@ -122,9 +127,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def search(
     vectors: DataFrame, queries: Column, nearest: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
-    tables: int = TABLES, probes: int = PROBES,
+    tables: int = TABLES, probes: int | None = None,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found of every row for which ``queries`` holds, itself left out."""
+    """(query_id, rank, vec_id, score): the nearest found of every row for which ``queries`` holds, itself left out.
+
+    ``probes`` is chosen from the recall of a sample of the queries where it is not given.
+    """
     spark = prepare(vectors.sparkSession)
     rows = vectors.filter(_valid(F.col(vector)) & F.col(vec_id).isNotNull())
     rows = rows.withColumn("_asked", queries).select(
@@ -142,6 +150,7 @@ def search(
     asked = keep(asked, "queries")
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    probes = probes or _enough_probes(entries, longest, count, nearest, tables)
     hits = _hits(entries, longest, count, nearest, tables, probes)
     best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "least")
     ids = entries.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), "ids", F.element_at("ids", 1).alias("least"))
@@ -156,6 +165,48 @@ def search(
     return own.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
+def _enough_probes(entries: DataFrame, longest: int, count: int, nearest: int, tables: int) -> int:
+    """Probes with which the true neighbours of a sample of the queries are found with a share of ``AIM``."""
+    width = 1 << max(0, longest - 1).bit_length()
+    some = entries.filter("asked").orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
+    if not len(some):
+        return PROBES
+    asked = _unit(_matrix(some, width, np.float64))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = vectors = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                units = _unit(_matrix(batch.column(0).slice(lo, 1024), width, np.float64))
+                new = np.broadcast_to(units, (len(asked), *units.shape))
+                both = asked @ units.T
+                if scores is not None:
+                    both = np.concatenate([scores, both], axis=1)
+                    new = np.concatenate([vectors, new], axis=1)
+                chosen = _best(-both, nearest + 1)
+                scores, vectors = np.take_along_axis(both, chosen, 1), np.take_along_axis(new, chosen[:, :, None], 1)
+        if scores is not None:
+            flat = vectors.reshape(-1, width)
+            query = np.repeat(np.arange(len(asked)), scores.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(scores.ravel()), pa.array(list(flat))], names=["query", "score", "v"])
+
+    found = entries.select("v").mapInArrow(best, "query long, score double, v array<double>")
+    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    found = found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth").between(2, nearest + 1)).toArrow()  # the first is itself
+    if not found.num_rows:
+        return PROBES
+    index = Tables(width, count, tables)
+    own = index.keys(_matrix(found.column("v").combine_chunks(), width, np.float32), 1)[:, :, 0]
+    query = found.column("query").to_numpy()
+    probes, most = PROBES, index.first_axes * index.second_axes
+    while probes < most:
+        looked = index.keys(asked.astype(np.float32), probes)
+        if (looked[query] == own[:, :, None]).any(axis=(1, 2)).mean() >= AIM:
+            break
+        probes = min(2 * probes, most)
+    return probes
+
+
 def _hits(entries: DataFrame, longest: int, count: int, nearest: int, tables: int, probes: int) -> DataFrame:
     """(query, vector, score) of the best of every query in every bucket that it looks into."""
     width = 1 << max(0, longest - 1).bit_length()

@@ -77,3 +77,16 @@ def test_recall_where_buckets_are_many(spark):
         best = np.argsort(-(unit @ unit[q]))[1:6]
         hits += seen[best].sum()
     assert hits >= 0.9 * 250
+
+
+def test_probes_grow_until_neighbours_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=32).astype(np.float32).tolist(), "x") for i in range(6000)]
+    monkeypatch.setattr(cp, "MEAN_BUCKET", 4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = F.col("vec_id") % 100 == 0
+    expected = exact([r[:2] for r in rows], lambda i: i % 100 == 0)
+    recall = lambda got: sum(len({j for _, j in got[q]} & {j for _, j in expected[q]}) for q in expected) / 300
+    fixed = recall(found(cp.search(df, asked, tables=3, probes=cp.PROBES)))
+    grown = recall(found(cp.search(df, asked, tables=3)))
+    assert fixed < 0.9 <= grown
