@@ -12,6 +12,7 @@ from labelmill.llm import (
     heap_bpe,
     mil_quality,
     numpy_bpe,
+    periodic_runs,
     poisson_mix,
     syncmers,
     training_order,
@@ -88,6 +89,21 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = periodic_runs.damaged(F.col("doc_id"), F.col("text"))
+    found = periodic_runs.with_runs(docs.select("doc_id", text.alias("text")))
+    runs, best = F.col("runs"), F.col("best")
+    return found.withColumn("best", periodic_runs.strongest(runs)).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(runs), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_training_order": op2_training_order,
@@ -99,6 +115,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_byte_cnn": op10_byte_cnn,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _PART = "translate(lpad(to_base(CAST('0x' || substr(h, {at}, 10) AS BIGINT), 32), 8, '0'), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
