@@ -12,6 +12,7 @@ from labelmill.llm import (
     heap_bpe,
     mil_quality,
     numpy_bpe,
+    owned_secrets,
     periodic_runs,
     poisson_mix,
     syncmers,
@@ -104,6 +105,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = owned_secrets.find_secrets(table(spark, sf_dir, "documents"))
+    secrets = F.col("secrets")
+    return found.select(
+        "doc_id",
+        *[F.size(owned_secrets.only(secrets, (k,))).cast("long").alias(f"n_{k}") for k in owned_secrets.BASE],
+        F.sha2(owned_secrets.listed(owned_secrets.only(secrets, owned_secrets.BASE)), 256).alias("base_sha256"),
+        owned_secrets.listed(secrets).alias("spans"),
+        owned_secrets.judged(secrets, "live").alias("n_live"),
+        owned_secrets.judged(secrets, "copied").alias("n_copied"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_training_order": op2_training_order,
@@ -116,11 +130,54 @@ QUERIES = {
     "op9_poisson_mix": op9_poisson_mix,
     "op10_byte_cnn": op10_byte_cnn,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_owned_secrets": op12_owned_secrets,
 }
 
 _PART = "translate(lpad(to_base(CAST('0x' || substr(h, {at}, 10) AS BIGINT), 32), 8, '0'), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
 
+_SECRET_SPANS = """
+  SELECT row, doc_id, owner, {no} AS kind_no, '{kind}' AS kind, s.e - length(s.w) AS start, s.e AS "end", s.v AS value
+  FROM (
+    SELECT row, doc_id, owner, unnest(list_transform(range(1, len(w) + 1), lambda i: {{
+      'e': list_sum(list_transform(gaps[:i], lambda x: length(x))) + list_sum(list_transform(w[:i], lambda x: length(x))), 'w': w[i], 'v': v[i]}})) AS s
+    FROM (
+      SELECT row, doc_id, owner, regexp_extract_all(t, $p${pattern}$p$, 0) AS w, regexp_extract_all(t, $p${pattern}$p$, {group}) AS v,
+        string_split_regex(t, $p${pattern}$p$) AS gaps
+      FROM texts WHERE regexp_matches(t, $p${pattern}$p$)
+    ) x
+  ) y WHERE length(s.v) >= {least}"""
+_SECRETS_FOUND = "\n  UNION ALL".join(
+    _SECRET_SPANS.format(no=i, kind=k, pattern=p, group=g, least=n) for i, (k, (p, g, n, _)) in enumerate(owned_secrets.KINDS.items())
+)
+_SPAN_TEXT = "kind || ':' || start || ':' || \"end\""
+
 ORACLES = {
+    "op12_owned_secrets": f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents
+), found AS ({_SECRETS_FOUND}
+), live AS (
+  SELECT *, length(value) >= {owned_secrets.LIVE_LENGTH} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND len(list_distinct(string_split(value, ''))) >= {owned_secrets.LIVE_CHARACTERS}
+    AND NOT regexp_matches(lower(value), '{owned_secrets.PLACEHOLDER}') AS looks_live
+  FROM found
+), clear AS (
+  SELECT * FROM live l WHERE kind <> 'owned' OR looks_live AND NOT EXISTS (
+    SELECT 1 FROM live b WHERE b.row = l.row AND b.kind <> 'owned' AND b.start < l."end" AND l.start < b."end")
+), owners AS (
+  SELECT value, count(DISTINCT owner) AS owners FROM clear GROUP BY value
+), judged AS (
+  SELECT clear.*, owners, looks_live AND owners < {owned_secrets.WIDE} AS is_live FROM clear JOIN owners USING (value)
+), by_row AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg({_SPAN_TEXT}, ',' ORDER BY start, kind_no) FILTER (kind <> 'owned') AS base,
+    string_agg({_SPAN_TEXT}, ',' ORDER BY start, kind_no) AS spans,
+    count(*) FILTER (is_live) AS n_live, count(*) FILTER (owners >= {owned_secrets.WIDE}) AS n_copied
+  FROM judged WHERE kind <> 'owned' OR is_live GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM texts LEFT JOIN by_row USING (row)""",
     "op7_warc_chunks": f"""
 WITH hashed AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
