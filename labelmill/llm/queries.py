@@ -10,6 +10,7 @@ from labelmill.llm import (
     cross_polytope,
     golay_simhash,
     heap_bpe,
+    lightest_repair,
     mil_quality,
     numpy_bpe,
     owned_secrets,
@@ -118,6 +119,12 @@ def op12_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = lightest_repair.repair(lightest_repair.damaged(rows), known=rows)
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_training_order": op2_training_order,
@@ -131,6 +138,7 @@ QUERIES = {
     "op10_byte_cnn": op10_byte_cnn,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_owned_secrets": op12_owned_secrets,
+    "op13_lightest_repair": op13_lightest_repair,
 }
 
 _PART = "translate(lpad(to_base(CAST('0x' || substr(h, {at}, 10) AS BIGINT), 32), 8, '0'), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
