@@ -2,13 +2,15 @@
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from labelmill import schemas
 from labelmill.plans import changes, index, pipeline, quality, screener, search, sinks
-from labelmill.sources import archives, label_xml, landed
+from labelmill.sources import archive_source, archives, label_xml, landed
 from labelmill.streaming import ingest
 
 UNII = "2.16.840.1.113883.4.9"
@@ -211,9 +213,72 @@ def test_reads_nested_archives(spark, zips):
 
 
 def test_ranges_split_an_archive(spark, zips, monkeypatch):
-    monkeypatch.setattr(archives, "RANGE_BYTES", 1)
-    ranges = list(archives._cut(iter([archives.pd.DataFrame({"path": [f"file:{zips}/a.zip"]})])))[0]
-    assert ranges["first"].tolist() == list(range(7)) == ranges["last"].tolist()
+    assert archives.ranges(0, 10) == [(0, None)] == archives.ranges(10, 10)
+    assert archives.ranges(21, 10) == [(0, 10), (10, 20), (20, None)]
+    listed = archives.list_archives(spark, str(zips))
+    whole = sorted(map(tuple, archives.read_archives(listed).collect()), key=str)
+    monkeypatch.setattr(archives, "RANGE_BYTES", 500)
+    assert archives.read_archives(listed).rdd.getNumPartitions() > 3
+    assert sorted(map(tuple, archives.read_archives(listed).collect()), key=str) == whole
+
+
+@pytest.mark.parametrize("size", [150, archives.RANGE_BYTES])
+def test_data_source(spark, zips, size):
+    """Whatever the ranges, an archive's members are read once, by the tasks of the ranges that they begin in."""
+    archive_source.register(spark)
+    source = spark.read.format(archive_source.NAME).option("range_bytes", size)
+    read = source.load(f"file:{zips}")
+    columns = ["source_file", "member_seq", "xml_seq", "member", "setid", "xml", "error_type"]
+    expected = archives.read_archives(archives.list_archives(spark, str(zips))).select(columns)
+    assert sorted(map(tuple, read.select(columns).collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+    a = [r for r in read.withColumn("task", F.spark_partition_id()).collect() if r.source_file == "a.zip"]
+    tasks = len({r.task for r in a})
+    assert tasks == 1 if size == archives.RANGE_BYTES else 1 < tasks <= 7
+
+
+def test_data_source_makes_the_columns_of_its_schema(spark, zips, tmp_path, monkeypatch):
+    archive_source.register(spark)
+    source = lambda: spark.read.format(archive_source.NAME)
+    rows = source().schema("setid string, xml_seq int").load(str(zips)).filter("setid IS NOT NULL").collect()
+    assert sorted(map(tuple, rows)) == [(s, 0) for s in ("s1", "s1", "s1", "s2", "s3", "s4", "s5", "s6")]
+    # nothing is unpacked for them
+    monkeypatch.setattr(zipfile.ZipFile, "read", lambda *a, **k: pytest.fail("unpacked"))
+    inner_bytes = inner(s1__xml="<document/>")
+    assert [r[1] for r in archives._label_xmls(inner_bytes, whole=False)] == ["s1.xml"]
+    monkeypatch.undo()
+    assert source().option("pattern", "b*.zip").load(str(zips)).filter("error_type IS NULL").count() == 2
+    assert source().option("recursive", "false").load(str(zips)).filter("source_file = 'b.zip'").count() == 0
+    (tmp_path / "none").mkdir()
+    assert source().load(str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="no columns"):
+        source().schema("pages int").load(str(zips)).collect()
+
+
+def test_stream_source_takes_late_files_once(spark, zips, tmp_path):
+    archive_source.register(spark)
+    table, check = str(tmp_path / "members"), str(tmp_path / "check")
+
+    def run():
+        members = spark.readStream.format(archive_source.NAME).option("range_bytes", 1000).load(str(zips))
+        write = members.writeStream.format("parquet").option("path", table).option("checkpointLocation", check)
+        write.trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.schema(schemas.MEMBER).parquet(table).filter("error_type IS NULL").collect()
+        return sorted((r.source_file, r.setid) for r in rows)
+
+    first = run()
+    assert len(first) == 8 and run() == first
+    with zipfile.ZipFile(zips / "late.zip", "w") as z:
+        z.writestr("1.zip", inner(s8__xml="<document/>"))
+    os.utime(zips / "late.zip", (1_000_000_000, os.stat(zips / "a.zip").st_mtime - 3600))
+    assert run() == sorted([*first, ("late.zip", "s8")]) == run()
+
+
+def test_offsets_stay_small():
+    week = archive_source.WEEK
+    file = archive_source.File
+    start, end = {"until": -1, "seen": {}}, {"until": 10 * week, "seen": {"new": 10 * week}}
+    assert archive_source.done(end, file("old", 1, 9 * week), week) and archive_source.done(end, file("new", 1, 10 * week), week)
+    assert not archive_source.done(end, file("late", 1, 9 * week + 1), week) and not archive_source.done(start, file("old", 1, 0), week)
 
 
 def test_ingest_stream_and_resume(spark, zips, tmp_path):
