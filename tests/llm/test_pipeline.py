@@ -9,7 +9,7 @@ from labelmill.llm import byte_cnn, golay_simhash, mil_quality, poisson_mix
 from labelmill.llm.common import keep
 from tests.llm.test_bpe import expected_codes
 from tests.llm.test_mix import plain_count
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_sets import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,11 +65,8 @@ def test_uncertain_languages_go(spark, stages):
 def test_one_document_of_a_group_stays(stages):
     before, after = stages["near_duplicates"]
     docs = before.collect()
-    prints = [plain_fingerprint(r["text"]) for r in docs]
-    root, first = plain_components(prints), {}
-    for r, p in sorted(zip(docs, prints), key=lambda x: x[0]["doc_id"]):
-        first.setdefault(root[p], tuple(r))
-    assert rows(after) == Counter(first.values())
+    ids = set(plain_kept([(r["doc_id"], r["text"]) for r in docs]))
+    assert rows(after) == Counter(tuple(r) for r in docs if r["doc_id"] in ids)
 
 
 def test_copies_are_the_drawn_ones(stages):
