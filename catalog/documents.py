@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog import base
 from labelmill import vocab
+from labelmill.functions.diff import with_inline_diff
 from labelmill.plans import changes, pipeline
 from labelmill.sources import derived, label_xml
 
@@ -233,6 +234,15 @@ def changed_sections(spark, sf):
     )
 
 
+def _side(drop: str, keep: str):
+    """The hash of one side's text."""
+    c = F.regexp_replace("inline_html", f"<{drop}>[^<]*</{drop}>", " ")
+    c = F.regexp_replace(c, f"</?{keep}>", " ")
+    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(safe), F.lit(raw))
+    return F.md5(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
 @query(
     "section_diffs",
     base.with_ctes(
@@ -243,18 +253,51 @@ def changed_sections(spark, sf):
 )
 def section_diffs(spark, sf):
     """Word differences; each side of the markup must give its whole text back."""
-    rows = changes.section_diffs(_changed(spark, sf))
+    return changes.section_diffs(_changed(spark, sf)).select(
+        "setid", F.col("version").cast("bigint").alias("version"), "name",
+        _side("ins", "del").alias("old_side"), _side("del", "ins").alias("new_side"),
+    )
 
-    def side(drop: str, keep: str):
-        c = F.regexp_replace("inline_html", f"<{drop}>[^<]*</{drop}>", " ")
-        c = F.regexp_replace(c, f"</?{keep}>", " ")
-        for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
-            c = F.replace(c, F.lit(safe), F.lit(raw))
-        return F.md5(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
+_DELETED, _INSERTED = "({n} * 7 + version) % 19 = 5", "({n} * 5 + version) % 23 = 11"
+
+
+@query(
+    "word_edits",
+    base.with_ctes(
+        [VERSIONS],
+        f"""SELECT setid, CAST(version AS BIGINT) AS version, name, len(w) AS n_words, best, TRUE AS enough,
+              md5(array_to_string(w, ' ')) AS old_side, md5(array_to_string(changed, ' ')) AS new_side
+            FROM (SELECT *, len(list_filter(w, lambda x, i: i <> 2 AND NOT {_DELETED.format(n="(i - 1)")})) AS best,
+                    list_concat(flatten(list_transform(w, lambda x, i: list_concat(
+                      CASE WHEN i = 2 OR {_DELETED.format(n="(i - 1)")} THEN [] ELSE [x] END,
+                      CASE WHEN {_INSERTED.format(n="(i - 1)")} THEN ['zz' || (i - 1)] ELSE [] END))), w[2:2]) AS changed
+                  FROM (SELECT setid, version, name, regexp_extract_all(section_text, '\\S+') AS w FROM sections) x) y""",
+    ),
+)
+def word_edits(spark, sf):
+    """Every section against itself with words left out, marks put in and its second word moved to the end.
+
+    All words but those left out and the moved one can stay: a difference counts as good enough if no more than two
+    and a twentieth of them are lost.
+    """
+    sections = derived.label_sections(spark, sf)
+    words = F.regexp_extract_all("section_text", F.lit(r"(\S+)"), F.lit(1))
+    rows = sections.select("setid", F.col("version").cast("bigint").alias("version"), "name", words.alias("w"))
+    none = F.array().cast("array<string>")
+    put = lambda x, n: F.concat(
+        F.when((n == 1) | ((n * 7 + F.col("version")) % 19 == 5), none).otherwise(F.array(x)),
+        F.when((n * 5 + F.col("version")) % 23 == 11, F.array(F.concat(F.lit("zz"), n.cast("string")))).otherwise(none),
+    )
+    changed = F.concat(F.flatten(F.transform("w", put)), F.slice("w", 2, 1))
+    stay = F.size(F.filter(F.transform("w", lambda x, n: (n != 1) & ((n * 7 + F.col("version")) % 19 != 5)), lambda x: x))
+    joined = lambda c: F.array_join(c, " ")
+    rows = rows.select("setid", "version", "name", F.size("w").alias("n_words"), stay.alias("best"), joined("w").alias("old"), joined(changed).alias("new"))
+    rows = with_inline_diff(rows, "old", "new")
     return rows.select(
-        "setid", F.col("version").cast("bigint").alias("version"), "name",
-        side("ins", "del").alias("old_side"), side("del", "ins").alias("new_side"),
+        "setid", "version", "name", F.col("n_words").cast("bigint").alias("n_words"), F.col("best").cast("bigint").alias("best"),
+        (F.col("words_kept") + 2 >= F.col("best") * 0.95).alias("enough"),
+        _side("ins", "del").alias("old_side"), _side("del", "ins").alias("new_side"),
     )
 
 

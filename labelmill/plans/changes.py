@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelmill import vocab
 from labelmill.functions import text
-from labelmill.functions.diff import inline_diff
+from labelmill.functions.diff import with_inline_diff
 from labelmill.operators.ordered import previous_value
 
 PAIR_TYPE = "struct<rmc_section:string,rmc_date:string>"
@@ -111,8 +111,9 @@ def changed_sections(candidates: DataFrame, sections: DataFrame, changes: DataFr
 
 def section_diffs(changed: DataFrame) -> DataFrame:
     """Inline HTML of the word differences of the changed sections."""
-    html = changed.withColumn("inline_html", inline_diff("old_text", "new_text"))
-    return html.drop("old_text", "new_text").filter("inline_html <> ''")
+    # where neither text has a word there is no markup; a filter on the markup itself would work it out twice
+    worded = changed.filter(F.col("old_text").rlike(r"\S") | F.col("new_text").rlike(r"\S"))
+    return with_inline_diff(worded, "old_text", "new_text").drop("old_text", "new_text", "words_kept")
 
 
 def change_records(candidates: DataFrame, changes: DataFrame, changed: DataFrame) -> DataFrame:
