@@ -4,8 +4,10 @@ A text's UTF-8 bytes are cut into windows of fixed length.  Filters of several
 widths over byte embeddings, the maximum of each filter over the window, and a
 softmax give a window's language probabilities; a text's are the mean over all
 its windows, weighted by their bytes.  The network is fitted on a bounded
-sample: about ``per_lang`` documents of a language, chosen by a hash of their
-ids, and ``WINDOWS_OF_ONE`` evenly spaced windows of each.
+sample of every language that occurs: ``per_lang`` documents of each, or an
+equal share of ``SAMPLE`` documents where there are very many languages but
+``FLOOR`` at least, those with the smallest hashes of id and text, and
+``WINDOWS_OF_ONE`` evenly spaced windows of each.
 
 Null texts and texts without a letter are 'und' with score 0.  With nothing to
 learn from, every text is 'und'.  Equal rows give equal results, null keys are
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from labelmill.llm.common import prepare, text_column, with_text_column
+from labelmill.llm.common import keep, prepare, text_column, with_text_column
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -32,8 +34,14 @@ PLACES = WINDOW - WIDEST + 1
 EMBEDDED = 8
 FILTERS = 16
 PER_LANG = 500
-#: At most so many languages are learned, the most frequent ones.
-LANGUAGES = 64
+#: Documents of all languages together, and the least of one.
+SAMPLE = 100_000
+FLOOR = 20
+#: Languages whose shares are broadcast; more are joined by Spark's choice.
+BROADCAST_LANGUAGES = 100_000
+#: Training steps, and those of each language where there are many.
+STEPS = 700
+STEPS_OF_ONE = 20
 WINDOWS_OF_ONE = 4
 #: Windows that are evaluated at a time, and convolved at a time (to stay in a core's cache).
 AT_ONCE = 512
@@ -73,7 +81,7 @@ class ByteNet:
         )
         return _softmax(np.maximum(best + self.w["bias"], 0) @ self.w["out"] + self.w["out_bias"])
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 0.01) -> None:
+    def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.01) -> None:
         """Cross-entropy by Adam; classes are weighted to count alike."""
         rng = np.random.default_rng(11)
         counts = np.bincount(labels, minlength=len(self.languages))
@@ -166,27 +174,34 @@ def fit(
 ) -> ByteNet | None:
     """A network fitted on rows of ``docs`` with text and language; None if there are none."""
     prepare(docs.sparkSession)
+    place = F.xxhash64(F.col(doc_id), F.col(text)).bitwiseAND(F.lit((1 << 52) - 1))
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
+    known = known.select(F.col(lang).alias("lang"), place.alias("place"), F.col(text).alias("text"))
+    counts = keep(known.groupBy("lang").count(), "language-counts")
+    many = counts.count()
+    if not many:
         return None
-    # of each language, the share of the hash range that holds per_lang documents in the mean
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, per_lang / r["count"]))])
-    place = F.xxhash64(F.col(doc_id)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    chosen = known.filter(place < F.element_at(share, F.col(lang)))
+    most = max(FLOOR, min(per_lang, SAMPLE // many))
+    # twice the wanted documents in the mean, of which the first are taken; all of a language that has few
+    share = F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("count"))
+    shares = counts.select(F.col("lang").alias("of"), share.alias("share"))
+    shares = F.broadcast(shares) if many <= BROADCAST_LANGUAGES else shares
+    chosen = known.join(shares, F.col("lang") == F.col("of")).filter(F.col("place") / F.lit(float(1 << 52)) < F.col("share"))
 
     @pandas_udf("array<binary>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(_sample_windows)
 
-    rows = chosen.select(F.col(lang).alias("lang"), F.explode(cut(F.col(text))).alias("window"))
-    # windows are cut before they meet; the limit binds only where many rows share an id
-    rows = sorted((r["lang"], bytes(r["window"])) for r in rows.limit(3 * WINDOWS_OF_ONE * per_lang * len(counts)).collect())
+    # windows are cut before they meet; equal rows have equal places and are one document of the sample
+    parts = chosen.select("lang", "place", cut("text").alias("windows")).dropDuplicates(["lang", "place"])
+    ranked = parts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).filter(F.col("nth") <= most)
+    rows = sorted((r["lang"], bytes(r["window"])) for r in ranked.select("lang", F.explode("windows").alias("window")).collect())
     languages = sorted({r[0] for r in rows})
     if not languages:
         return None
     net = ByteNet(languages)
-    net.fit(np.concatenate([_windows(r[1]) for r in rows]), np.array([languages.index(r[0]) for r in rows]))
+    labels = np.searchsorted(np.array(languages, dtype=object), np.array([r[0] for r in rows], dtype=object))
+    net.fit(np.concatenate([_windows(r[1]) for r in rows]), labels, max(STEPS, STEPS_OF_ONE * len(languages)))
     return net
 
 

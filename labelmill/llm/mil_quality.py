@@ -188,10 +188,12 @@ def fit(
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(_sample_passages)
 
-    # max_docs rows at most are broadcast; passages are cut before they meet; the limit binds only where many rows share an id
-    found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
-    found = found.join(F.broadcast(known), F.col("_doc") == F.col("_labelled")).select("_doc", "_label", cut(F.col("_text")))
-    rows = [(r[0], r[1], [bytes(p) for p in r[2]]) for r in found.limit(2 * max_docs).collect()]
+    # max_docs rows at most are broadcast; passages are cut before they meet; equal rows are one document of the
+    # sample, and where many texts share an id those with the smallest hashes are taken
+    found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_at"))
+    found = found.join(F.broadcast(known), F.col("_doc") == F.col("_labelled"))
+    found = found.select("_doc", "_label", cut(F.col("_text")).alias("_cut"), "_at").dropDuplicates(["_doc", "_at"])
+    rows = [(r[0], r[1], [bytes(p) for p in r[2]]) for r in found.orderBy("_at", "_doc").limit(2 * max_docs).collect()]
     if not rows:
         return None
     rows.sort()

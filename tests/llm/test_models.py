@@ -122,3 +122,21 @@ def test_windows_cover_whole_texts(size):
     data = bytes(np.random.default_rng(0).integers(1, 256, size, dtype=np.uint8))
     got = b"".join(w[: int(n)].tobytes() for _, ns, ws in byte_cnn._in_turn([b"x", data]) for n, w in zip(ns, ws))
     assert got == b"x" + data
+
+
+def test_every_language_is_learned(spark):
+    """A hundred languages, some rows without an id, one row a third of the table."""
+    rng, rows = np.random.default_rng(3), []
+    letters = [chr(c) for c in range(0x61, 0x7B)]
+    for lang in range(100):
+        own = rng.choice(letters, 3, replace=False)
+        for n in range(14):
+            text = " ".join("".join(rng.choice(own, rng.integers(2, 6))) for _ in range(60))
+            rows.append((None if n % 3 == 0 else 100 * lang + n, text, f"l{lang:02}", n >= 12))
+    again = [rows[1]] * 700
+    docs = spark.createDataFrame(rows + again, "doc_id long, text string, lang string, held_out boolean").repartition(5)
+    net = byte_cnn.fit(docs.filter("NOT held_out"))
+    assert net.languages == sorted({r[2] for r in rows})
+    held = [r for r in rows if r[3]]
+    found = net.classify([r[1] for r in held])["lang_pred"]
+    assert np.mean([f == r[2] for f, r in zip(found, held)]) > 0.8
