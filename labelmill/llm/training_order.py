@@ -1,14 +1,18 @@
 """Training-order materialisation: fixed-stride shards of token sequences in a keyed random order.
 
-Every document is cut into sequences of at most ``length`` token ids.  A keyed
-Feistel network with cycle-walking permutes the numbers 0 .. domain - 1, where
-a sequence's number is (id - smallest id) * most sequences of a document + its
-place in the document.  So slots need no counting pass over tokens, and do not
-depend on partitions or retries.  Equal ranges of the domain are shards: each
-is written by one task in slot order as records of one stride, so that row r
-of a shard begins at byte r * stride.  The manifest, made from file lengths,
-gives the global position of every shard's first record; reading can resume at
-any position without touching earlier shards.
+Every document is cut into sequences of at most ``length`` token ids.  A
+sequence's number is a hash of its document's id and text and of its place, in
+a domain of 2**40 numbers for each shard, so that ids may be missing, repeated
+or spread over all longs; rows that are equal in both are told apart by the
+task and their count in it.  A keyed Feistel network with cycle-walking
+permutes the domain and gives every sequence its slot.  So slots need no
+counting pass over tokens, and but for equal rows do not depend on partitions
+or retries.  Equal ranges of slots are shards: each is written by one task in
+slot order as records of one stride, so that row r of a shard begins at byte
+r * stride.  The manifest, made from file lengths, gives the global position of
+every shard's first record (dense, from 0); reading can resume at any position
+without touching earlier shards.  Shards are as many as the bytes of texts, or
+of one record for each row where that is more, ask for.
 
 A record holds the document id, the sequence's place, its number of ids, the
 ids as little-endian unsigned 16-bit integers padded with zeros, and a line
@@ -16,9 +20,11 @@ feed (which is what Spark's text writer puts between rows; it writes the bytes
 before it as they are).
 
 A null text counts as empty; an empty text has one sequence without ids, so
-every row appears.  A null id is stored as the smallest long.  Rows with equal
-ids share a slot and follow each other, ordered by their ids' bytes.  An empty
-table gives no files and an empty result.
+every row appears.  A null id is stored as the smallest long.  Sequences that
+meet in a slot (one pair in 2**41 for each shard's million squared) follow each
+other, ordered by their bytes.  Texts of any length are cut whole.  An empty
+table gives no files and an empty result.  Only the id and the text are read,
+so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +47,8 @@ HEADER = "<qii"
 HEAD_BYTES = struct.calcsize(HEADER)
 NO_ID = -(1 << 63)
 ROUNDS = 6
+#: Numbers of the domain for each shard.
+SHARD_NUMBERS = 1 << 40
 #: Bytes of text that a shard holds in the mean.
 SHARD_BYTES = 24 << 20
 #: Most tasks that write shards; more shards share tasks.
@@ -85,6 +94,27 @@ class Permutation:
         return out
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+class Numbers:
+    """Stable 64-bit names of a task's documents; equal documents of a task get different ones from the second on."""
+
+    def __init__(self, task: int):
+        self.task, self.seen = task, {}
+
+    def __call__(self, doc_id: int | None, text: str) -> int:
+        held = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=b"none" if doc_id is None else struct.pack("<q", doc_id))
+        name = int.from_bytes(held.digest(), "little")
+        nth = self.seen[name] = self.seen.get(name, -1) + 1
+        if not nth:
+            return name
+        return int.from_bytes(hashlib.blake2b(struct.pack("<Qqq", name, self.task, nth), digest_size=8).digest(), "little")
+
+
 def write_shards(
     docs: DataFrame, ranks: str, path: str, key: str = "order", length: int = LENGTH, doc_id: str = "doc_id", text: str = "text"
 ) -> int:
@@ -95,12 +125,9 @@ def write_shards(
     spark = prepare(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.octet_length("text")
-    low, high, most, total = own.agg(F.min("doc_id"), F.max("doc_id"), F.max(size), F.sum(size)).first()
-    low, high, most, total = low or 0, high or 0, most or 0, total or 0
-    per_doc = max(1, -(-most // length))
-    permutation = Permutation(key, (high - low + 1) * per_doc)
-    shards = max(1, total // SHARD_BYTES)
-    width = -(-permutation.domain // shards)
+    rows, total = own.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    shards = max(1, max(total, rows * stride(length)) // SHARD_BYTES)
+    permutation = Permutation(key, shards * SHARD_NUMBERS)
     with open(ranks, "rb") as file:
         content = spark.sparkContext.broadcast(file.read())
 
@@ -111,31 +138,33 @@ def write_shards(
         if max(table.values()) >= 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
         encode = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=table, special_tokens={}).encode_to_numpy
+        number = Numbers(TaskContext.get().partitionId())
         for batch in batches:
             first, places, records = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(t, disallowed_special=()).astype("<u2")
-                n = max(1, -(-len(ids) // length))
+                n, name = max(1, -(-len(ids) // length)), number(i, t)
                 for s in range(n):
                     part = ids[s * length : (s + 1) * length].tobytes()
-                    first.append((0 if i is None else i - low) * per_doc)
+                    first.append(name)
                     places.append(s)
                     records.append(struct.pack(HEADER, NO_ID if i is None else i, s, len(part) // 2) + part.ljust(2 * length, b"\0"))
-            slots = permutation(np.array(first, dtype=np.uint64) + np.array(places, dtype=np.uint64))
+            names = _mixed(np.array(first, dtype=np.uint64) + np.array(places, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            slots = permutation(names % np.uint64(permutation.domain))
             for lo in range(0, len(records), 8192):
                 part = slots[lo : lo + 8192]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((part // np.uint64(width)).astype(np.int32)),
+                        pa.array((part // np.uint64(SHARD_NUMBERS)).astype(np.int32)),
                         pa.array(part.astype(np.int64)),
                         pa.array(records[lo : lo + 8192], pa.binary()),
                     ],
                     names=["shard", "slot", "record"],
                 )
 
-    rows = own.mapInArrow(cut, "shard int, slot long, record binary")
+    cut_rows = own.mapInArrow(cut, "shard int, slot long, record binary")
     # parallelism follows the data: twice as many partitions as shards, so that few hold more than one
-    placed = rows.repartition(min(2 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "slot", "record")
+    placed = cut_rows.repartition(min(2 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "slot", "record")
     placed.select("shard", F.col("record").cast("string").alias("record")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     return int(shards)
 

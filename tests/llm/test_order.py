@@ -73,3 +73,20 @@ def test_no_documents(spark, no_docs):
     path = scratch_dir(spark, "test-shards")
     to.write_shards(no_docs, tokenizer("byte_bpe_50k.tiktoken"), path)
     assert to.read_shards(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["no ids", "one id", "equal rows", "empty texts", "hashed ids"])
+def test_shards_are_even_whatever_the_ids(spark, encode, monkeypatch, kind):
+    monkeypatch.setattr(to, "SHARD_BYTES", 40_000)
+    text = lambda i: "" if kind == "empty texts" else "the same text" if kind == "equal rows" and i % 3 == 0 else f"text number {i} " * 5
+    own = {"no ids": lambda i: None if i % 3 == 0 else i, "one id": lambda i: 7 if i % 3 == 0 else i, "equal rows": lambda i: 7 if i % 3 == 0 else i}
+    hashed = lambda i: (i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+    rows = [(own.get(kind, hashed)(i), text(i)) for i in range(3000)]
+    path = scratch_dir(spark, "test-shards")
+    shards = to.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer("byte_bpe_50k.tiktoken"), path)
+    assert shards == max(3000 * to.stride(), sum(len(t) for _, t in rows)) // 40_000 > 30
+    found = to.read_shards(spark, path).collect()
+    assert sorted(((r["doc_id"], r["seq_no"], r["n_tokens"], r["ids_sha256"]) for r in found), key=str) == sorted(plain_sequences(rows, encode, to.LENGTH), key=str)
+    assert sorted(r["position"] for r in found) == list(range(len(found)))
+    sizes = np.bincount([r["shard"] for r in found], minlength=shards)
+    assert sizes.max() < 3 * sizes.mean()
