@@ -85,7 +85,7 @@ _normalized = f"CASE WHEN raw_name = lower(raw_name) AND raw_name <> upper(raw_n
     "parsed_details",
     base.with_ctes(
         [base.LINES, base.RECORDS, _entry_names, f"""
-        parts AS (SELECT setid, string_agg(raw_name, ', ' ORDER BY pos) FILTER (ing_role = 'inactive') AS inactive_ingredients_raw,
+        parts AS MATERIALIZED (SELECT setid, string_agg(raw_name, ', ' ORDER BY pos) FILTER (ing_role = 'inactive') AS inactive_ingredients_raw,
           string_agg({_normalized} || '/' || coalesce(unii, '') || '/' || coalesce(strength, ''), '; ' ORDER BY pos) FILTER (ing_role = 'active') AS actives,
           arg_min(strength, pos) FILTER (ing_role = 'active') AS first_strength FROM named WHERE copy = 1 GROUP BY setid)"""],
         """SELECT setid, CASE WHEN dosage_form IS NOT NULL THEN product_name || ' ' || first_strength || ' ' || dosage_form

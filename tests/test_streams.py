@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from labelmill.streaming import dedupe, ingest, keyed
+from labelmill.streaming import dedupe, expiry, ingest, keyed
 from tests.conftest import values
 
 SCHEMA = "k string, v long, at long"
@@ -94,3 +94,28 @@ def test_first_arrivals(spark, tmp_path):
         dedupe.run_once(dedupe.first_arrivals(stream, ["k"], "ts", "5 days"), target, check).awaitTermination()
     found = sorted(values(spark.read.parquet(target), "k", "v"))
     assert found == [("a", 1), ("b", 1), ("b", 3), ("c", 1), ("d", 1)]
+
+
+def test_state_forgets_what_has_expired(spark, tmp_path):
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    hour = lambda n: f"2024-01-{1 + n // 24:02} {n % 24:02}:00:00"
+    batches = [
+        [(f"k{i}", i, hour(0), i) for i in range(50)] + [("late", 1, hour(9), 1), (None, 3, hour(9), None)],
+        [("k1", 60, hour(9), 61), ("k2", 0, hour(0), 99), ("late", 0, hour(8), 0)],  # k2: a smaller tie
+        [("k3", 70, hour(11), 71), ("new", 71, hour(30), 72)],
+        [("k4", 72, hour(31), 73), ("late", 2, hour(23), 2), ("gone", 1, hour(20), 1)],
+    ]
+    sizes, changes, table = [], None, None
+    for batch in batches:
+        df = spark.createDataFrame(batch, "k string, n long, hour string, v long").withColumn("ts", F.to_timestamp("hour")).drop("hour")
+        df.select("k", "n", "ts", "v").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k string, n long, ts timestamp, v long").parquet(source)
+        changes = expiry.live_changes(stream, ["k"], "ts", "n", 8, lag_hours=1)
+        table = keyed.KeyedTable(spark, str(tmp_path / "t"), changes.schema, ["k"], ["ts", "n"], 4)
+        run = ingest.upsert_stream(changes, table, check, "update")
+        run.awaitTermination()
+        sizes.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    # the clock is 30 at last: rows from 22 on live
+    assert sorted(values(table.read().filter("live"), "k", "n", "v"), key=str) == [("k4", 72, 73), ("late", 2, 2), ("new", 71, 72)]
+    assert table.read().filter("NOT live").count() == 50
+    assert sizes[0] == 52 and sizes[-1] == 3
