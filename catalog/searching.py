@@ -9,7 +9,7 @@ from catalog.tiering import assessed, products, records
 from labelmill import vocab
 from labelmill.functions import ingredients, queries, text
 from labelmill.operators import match
-from labelmill.operators.joins import substring_pairs
+from labelmill.operators.grams import GramIndex
 from labelmill.plans import concepts as concept_plans
 from labelmill.plans import search
 from labelmill.session import stage
@@ -415,8 +415,9 @@ def broad_search(spark, sf):
 def merged_search(spark, sf):
     """A local index of a third of the parts before the live listing of all."""
     asked, listings = _shop(spark, sf)
-    local = search.broad_search(asked, listings.filter("seq % 3 = 0"))
-    return search.merged_search(local, search.broad_search(asked, listings)).select("query_id", "setid", "source")
+    names = search.name_index(listings)  # written once, read by both searches
+    local = search.broad_search(asked, listings.filter("seq % 3 = 0"), names)
+    return search.merged_search(local, search.broad_search(asked, listings, names)).select("query_id", "setid", "source")
 
 
 @query(
@@ -579,7 +580,7 @@ def name_containment(spark, sf):
         .union(part.select(F.explode(F.split(F.lower("p_type"), " "))))
         .union(part.select(F.lower("p_brand")))
     )
-    return substring_pairs(words, "w", part, "p_name")
+    return GramIndex.build(part, "p_name").find(words, "w")
 
 
 @query(

@@ -2,9 +2,13 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from labelmill.operators import joins, ordered
+from labelmill.operators.grams import GramIndex
+from tests.conftest import values
 
 
 def _rows(n=600):
@@ -65,3 +69,21 @@ def test_salted_join_equals_join(spark):
     a = joins.salted_join(left, right, "k", ["seq"]).select("k", "seq", "n")
     b = left.join(right, "k").select("k", "seq", "n")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+@pytest.mark.parametrize("span", [3, 50_000])
+def test_gram_index_is_exact(spark, tmp_path, span):
+    """However a common gram is dealt out, and over several batches of needles."""
+    rng = np.random.default_rng(span)
+    word = lambda n: "".join(rng.choice(list("ab é😀"), n))
+    names = [word(rng.integers(0, 12)) for _ in range(120)] + ["aaaa", "aaaa", None, "", "x", "%_\\"]
+    asked = [word(rng.integers(1, 5)) for _ in range(60)] + ["", None, "x", "aaa", "zz", "_", "\\", "aaaa"]
+    index = GramIndex.build(spark.createDataFrame([(n,) for n in names], "name string").repartition(3), "name", str(tmp_path / "index"), span)
+    for some in (asked[::2], asked[1::2], asked[:1], []):
+        found = values(index.find(spark.createDataFrame([(a,) for a in some], "asked string"), "asked"))
+        assert sorted(found) == sorted({(a, n) for a in some if a for n in names if n is not None and a in n})
+    again = GramIndex(spark, str(tmp_path / "index"))
+    assert again.counts.filter("parts > 1").count() > 0 or span > 3
+    assert values(again.find(spark.createDataFrame([("x",)], "asked string"), "asked")) == [("x", "x")]
+    folders = {f.split("shelf=")[1].split("/")[0] for f in again.postings.inputFiles()}
+    assert len(folders) > 10
