@@ -554,6 +554,29 @@ def excipient_comparison(spark, sf):
     )
 
 
+_BODY = "query struct<normalized_text:string,ndc:string>, comparison_rows array<struct<setid:string,matches_filter:boolean>>, matching_products array<struct<setid:string>>"
+
+
+@query(
+    "search_responses",
+    base.with_ctes(
+        [*TO_RESULTS, _terms],
+        """SELECT query_id, normalized_text, setid, inc <> '' AND exc = '' AS matches_filter
+           FROM results JOIN terms USING (setid) JOIN (SELECT query_id, normalized_text FROM norm) USING (query_id)
+           WHERE coalesce(product_type, '') = '' OR contains(product_type, 'HUMAN')""",
+    ),
+)
+def search_responses(spark, sf):
+    """Responses as JSON, in parts, and read back: the rows of a query, of which the matching ones are listed again."""
+    products = _staged_records(spark, sf)
+    rows = search.comparison_rows(_results(spark, sf, products), products, INCLUDE, EXCLUDE)
+    normalized = queries.normalize_queries(derived.search_queries(spark))
+    packed = search.responses(normalized, rows, chunk=50).select("query_id", F.from_json("body", _BODY).alias("b"))
+    shown = packed.select("query_id", "b.query.normalized_text", F.explode("b.comparison_rows").alias("r"), "b.matching_products.setid")
+    listed = F.array_contains("setid", F.col("r.setid"))
+    return shown.filter(listed == F.col("r.matches_filter")).select("query_id", "normalized_text", "r.setid", "r.matches_filter")
+
+
 @query(
     "human_results",
     base.with_ctes(

@@ -94,6 +94,35 @@ def excipient_match_keys(spark, sf):
     return rows.select("name", F.explode(ingredients.match_keys(F.col("name"), broaden=True)).alias("match_key"))
 
 
+_spellings = "upper({n}) || ' solution'", "lower({n})"
+
+
+@query(
+    "ingredient_keys",
+    base.with_ctes(
+        [base.LINES, _names_sql,
+         f"spelled AS (SELECT DISTINCT unnest([name, {', '.join(x.format(n='name') for x in _spellings)}]) AS name FROM names)",
+         f"canon AS (SELECT name, {_excipient_sql('name')} AS c FROM spelled)",
+         f"dyes AS (SELECT *, regexp_extract(c, {_dye}, 1) AS color, regexp_extract(c, {_dye}, 2) AS num FROM canon)",
+         f"""keys AS (SELECT DISTINCT name, k FROM (SELECT name, unnest([nullif(c, ''), {_phrases},
+              CASE WHEN starts_with(c, 'peg ') THEN 'peg' END, CASE WHEN starts_with(c, 'sorbitol solution') THEN 'sorbitol' END,
+              CASE WHEN color <> '' THEN color || ' no ' || num END, CASE WHEN color <> '' THEN color || ' dye ' || num END,
+              CASE WHEN color <> '' THEN color || ' dye' END,
+              CASE WHEN regexp_full_match(upper(regexp_replace(name, '\\s+', '', 'g')), '[A-Z0-9]{{10}}')
+                THEN upper(regexp_replace(name, '\\s+', '', 'g')) END]) AS k FROM dyes) x WHERE k IS NOT NULL)""",
+         f"asked AS (SELECT DISTINCT name, unnest([name, {', '.join(x.format(n='name') for x in _spellings)}]) AS spelling FROM names)"],
+        """SELECT a.name, k AS match_key FROM asked a JOIN keys ON keys.name = a.spelling
+           UNION SELECT name, upper(substr(md5(name), 1, 10)) FROM names WHERE name IS NOT NULL""",
+    ),
+)
+def ingredient_keys(spark, sf):
+    """Keys of an ingredient by its three spellings and its code."""
+    display, normalized = (F.expr(x.format(n="name")) for x in _spellings)
+    rows = _names(spark, sf)
+    keys = ingredients.ingredient_keys(F.col("name"), display, normalized, F.substring(F.md5("name"), 1, 10))
+    return rows.select("name", F.explode(keys).alias("match_key")).distinct()
+
+
 # --- narrative ingredient parsing ---------------------------------------------------
 
 

@@ -569,3 +569,28 @@ def _sequenced_products(spark, sf):
 )
 def known_positive_totals(spark, sf):
     return quality.outcome_totals(known_positives(spark, sf))
+
+
+_form = "lower(dosage_form)"
+_expected_form = f"""CASE WHEN {base.any_contained(_form, vocab.EXCLUDED_FORMS)} THEN 'excluded' WHEN {base.any_contained(_form, vocab.STRONG_FORMS)} THEN 'strong'
+  WHEN {base.any_contained(_form, vocab.AMBIGUOUS_FORMS)} THEN 'ambiguous' ELSE 'non_liquid' END"""
+
+
+def _checked(spark, sf):
+    """Every product's form as a case: the class by plain word lists against the classifier's."""
+    rows = classify.classify_form_and_route(records(spark, sf)).withColumn("expected", F.expr(_expected_form))
+    return quality.check_cases(rows, "expected", "form_class")
+
+
+@query(
+    "static_checks",
+    base.with_ctes([base.LINES, base.RECORDS, base.CLASSED], "SELECT setid, form_class AS expected, 'PASS' AS result FROM classed"),
+)
+def static_checks(spark, sf):
+    return _checked(spark, sf).select("setid", "expected", "result")
+
+
+@query("checks_passed", base.with_ctes([base.LINES, base.RECORDS, base.CLASSED], "SELECT count(*) > 0 AS all_passed FROM classed"))
+def checks_passed(spark, sf):
+    return quality.all_passed(_checked(spark, sf))
+
