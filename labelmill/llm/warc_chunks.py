@@ -3,7 +3,10 @@
 A payload is cut into chunks of ``CHUNK`` bytes.  A chunk is a row (record,
 chunk number) and becomes one WARC record: the first a ``response``, the others
 ``continuation`` segments of it, as the format provides for oversized payloads.
-So no writer, reader or archive member ever holds more than a chunk, and
+Payloads are cut by the task that scans them, which carries the digest from
+chunk to chunk; what is shuffled, joined to its decision, written and read are
+chunks with the digest so far.  So no shuffled row, writer, reader or archive
+member ever holds more than a chunk (the scan's row holds its text), and
 archives stay small however large a payload is.  The reader hashes a record
 of one chunk where it is read; longer ones are brought together by record,
 sorted by chunk number, and hashed one chunk after the other as they arrive.
@@ -18,7 +21,8 @@ bytes, the one with the smallest page id is the response, the others are
 revisits of it; smaller payloads are all responses.  A null payload counts as
 empty.  Rows with equal ids and payloads are all responses, or all revisits.
 A null id is smaller than none: such a row is a response only where no row
-with an id has its payload.  An empty table makes no archives.
+with an id has its payload.  An empty table makes no archives.  Only page_id,
+url and html are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from labelmill.llm.common import keep, prepare
 
@@ -40,8 +46,9 @@ CHUNK = 64 << 10
 PER_FILE = 800
 READ_AT_ONCE = 64 << 10
 CHUNKS = (
-    "page_id long, payload_digest string, payload_bytes long, record_type string, refers_to long, chunk_no int, chunks int, member binary"
+    "page_id long, payload_digest string, payload_bytes long, record_type string, refers_to long, chunk_no int, chunks int, so_far string, member binary"
 )
+CUT = "page_id long, url string, payload_digest string, payload_bytes long, chunk_no int, chunks int, so_far string, data binary"
 PARTS = "record string, chunk_no int, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, data binary, verified boolean"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -53,27 +60,45 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def decided(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with payload_digest, payload_bytes, record_type and refers_to.
-
-    Only ids and digests are grouped; payloads are shuffled once, by id.
-    """
+def _decisions(pages: DataFrame, least: int) -> DataFrame:
+    """(_id, _digest, record_type, refers_to) of every payload of an id; only ids and digests are grouped."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    marked = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("payload_digest"))
-    ids = marked.select("page_id", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    ids = pages.select("page_id", base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     ids = keep(ids.distinct(), "page-digests")
     first = ids.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("original"))
     typed = ids.join(first, ["payload_digest", "payload_bytes"], "left")
     again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    typed = typed.select(
+    return typed.select(
         F.col("page_id").alias("_id"),
         F.col("payload_digest").alias("_digest"),
-        "payload_bytes",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("original")).alias("refers_to"),
     )
-    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest"))
-    return marked.join(typed, same).drop("_id", "_digest")
+
+
+def _cut(batches: Iterator[pa.RecordBatch], chunk: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row per chunk, with the digest of the payload up to its end; a chunk's bytes are copied when it is put out."""
+    rows, held = [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    for batch in batches:
+        for page_id, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            view = memoryview(html.as_buffer() or b"") if html.is_valid else memoryview(b"")
+            parts = [view[lo : lo + chunk] for lo in range(0, max(1, len(view)), chunk)]
+            digest, so_far = hashlib.sha1(), []
+            for part in parts:
+                digest.update(part)
+                so_far.append(base64.b32encode(digest.copy().digest()).decode("ascii"))
+            for n, (part, state) in enumerate(zip(parts, so_far), 1):
+                rows.append((page_id, url, so_far[-1], len(view), n, len(parts), state, bytes(part)))
+                held += len(part)
+                if held >= 4 << 20 or len(rows) >= 10_000:
+                    yield batch_of()
+                    rows, held = [], 0
+    if rows:
+        yield batch_of()
 
 
 def _name(page_id: int | None, digest: str) -> str:
@@ -95,35 +120,32 @@ def _member(header: dict[str, object], *block: bytes | memoryview) -> bytes:
 
 
 def chunk_table(pages: DataFrame, least: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table of ``pages``: a row per chunk, with its WARC record as ``member``."""
-    prepare(pages.sparkSession)
+    """The chunked record table of ``pages`` (page_id, url, html): a row per chunk, with its WARC record as ``member``.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``so_far`` is the digest of the payload up to the end of the chunk, so that
+    a reader may check and resume after any of them.
+    """
+    prepare(pages.sparkSession)
+    kinds = StructType.fromDDL(CUT)
+    schema = to_arrow_schema(kinds)
+    cut = pages.select("page_id", "url", "html").mapInArrow(lambda batches: _cut(batches, chunk, schema), kinds)
+    typed = _decisions(pages, least)
+    ready = cut.join(typed, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")))
+    again = F.col("record_type") == "revisit"
+    ready = ready.filter(~again | (F.col("chunk_no") == 1)).withColumn("chunks", F.when(again, 1).otherwise(F.col("chunks")))
+    made = to_arrow_schema(StructType.fromDDL(CHUNKS))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            plain = {n: batch.column(n).to_pylist() for n in names if n != "payload"}
-            rows, held = [], 0
-            for i in range(batch.num_rows):
-                row = {n: v[i] for n, v in plain.items()}
-                view = memoryview(batch.column("payload")[i].as_buffer())
-                chunks = max(1, -(-len(view) // chunk)) if row["record_type"] == "response" else 1
-                for n in range(chunks):
-                    rows.append((row, n + 1, chunks, _written(row, n + 1, chunks, view[n * chunk : (n + 1) * chunk], len(view))))
-                    held += len(rows[-1][3])
-                    if held >= 4 << 20:
-                        yield _table(rows)
-                        rows, held = [], 0
-            if rows:
-                yield _table(rows)
-
-    def _table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())]
-        columns = [pa.array([r[0][n] for r in rows], kind) for n, kind in kinds]
-        columns += [pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kinds] + ["chunk_no", "chunks", "member"])
-
-    ready = decided(pages, least)
-    return ready.select("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to").mapInArrow(cut, CHUNKS)
+            names = [n for n in batch.schema.names if n != "data"]
+            rows = [dict(zip(names, values)) for values in zip(*(batch.column(n).to_pylist() for n in names))]
+            members = [
+                _written(r, r["chunk_no"], r["chunks"], memoryview(batch.column("data")[i].as_buffer()), r["payload_bytes"]) for i, r in enumerate(rows)
+            ]
+            columns = [batch.column(f.name) if f.name != "member" else pa.array(members, f.type) for f in made]
+            yield pa.RecordBatch.from_arrays(columns, schema=made)
+
+    return ready.select("page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", "chunk_no", "chunks", "so_far", "data").mapInArrow(write, CHUNKS)
 
 
 def _written(row: dict, n: int, chunks: int, part: memoryview, total: int) -> bytes:

@@ -59,6 +59,15 @@ def test_archives_give_back_what_was_written(spark, odd_pages, chunk, least):
     assert b"".join(bytes(r["data"]) for r in six) == b"0123456789" * 30_000
 
 
+def test_chunks_carry_the_digest_so_far(spark, odd_pages):
+    for row in wc.chunk_table(odd_pages.filter("page_id in (1, 2, 6)"), 0, 1000).collect():
+        payload = b"0123456789" * 30_000 if row["page_id"] == 6 else b"<p>one</p>"
+        begun = payload[: row["chunk_no"] * 1000]
+        assert row["so_far"] == base64.b32encode(hashlib.sha1(begun).digest()).decode()
+        assert row["chunk_no"] < row["chunks"] or row["so_far"] == row["payload_digest"]
+        assert len(row["member"]) < 2000 and (row["record_type"] == "revisit") == (row["page_id"] == 2)
+
+
 def test_files_are_plain_gzip_members(spark, odd_pages):
     path = scratch_dir(spark, "test-archives")
     wc.write_archives(wc.chunk_table(odd_pages.filter("page_id < 3")), path)
