@@ -94,4 +94,13 @@ def stage(df: DataFrame, purpose: str, partition_by: Sequence[str] = ()) -> Data
     """
     path = scratch_dir(df.sparkSession, purpose)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in staged:
+        delete(df.sparkSession, df._staged_at)
+        _SCRATCH.remove(df._staged_at)

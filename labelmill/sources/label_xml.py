@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -571,20 +571,21 @@ def all_details(parsed: DataFrame) -> DataFrame:
 
     Subject details carry no product type, so the human filter lets them pass.
     """
-    return _unpack(parsed, _details(id(parsed.sparkSession.sparkContext)))
-
-
-@lru_cache(maxsize=1)
-def _details(context: int) -> Column:
-    """The details of ``doc``; building the expression takes seconds, so a Spark context builds it once."""
-    doc = F.col("doc")
-    products = F.filter(doc["subjects"], lambda s: s["kind"] != "container")
-    return text.bind(
-        products,
-        lambda ps: F.when(F.size(ps) > 0, F.transform(ps, lambda s: _subject_detail(doc, s))).otherwise(
-            F.array(_single_detail(doc))
-        ),
-    )
+    return _unpack(parsed, _details(parsed.sparkSession.sparkContext))
+
+
+def _details(context: SparkContext) -> Column:
+    """The details of ``doc``; building the expression takes seconds, so a Spark context builds it once and keeps it."""
+    if not hasattr(context, "_labelmill_details"):
+        doc = F.col("doc")
+        products = F.filter(doc["subjects"], lambda s: s["kind"] != "container")
+        context._labelmill_details = text.bind(
+            products,
+            lambda ps: F.when(F.size(ps) > 0, F.transform(ps, lambda s: _subject_detail(doc, s))).otherwise(
+                F.array(_single_detail(doc))
+            ),
+        )
+    return context._labelmill_details
 
 
 def details_as_records(details: DataFrame) -> DataFrame:
