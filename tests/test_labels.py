@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill import schemas
+from labelmill.functions import text
 from labelmill.plans import changes, index, pipeline, quality, screener, search, sinks
 from labelmill.sources import archive_source, archives, label_xml, landed
 from labelmill.streaming import ingest
@@ -445,3 +446,51 @@ def test_related_payloads(spark):
         {"rxcui": "1", "name": "a"}, {"rxcui": "1", "name": "again"}, {"rxcui": "", "name": "b"}]}}})
     rows = spark.createDataFrame([(7, payload)], "q int, payload string")
     assert [(r.rxcui, r.name, r.tty) for r in landed.related_concepts(rows, ["q"]).collect()] == [("1", "a", "IN")]
+
+
+def test_small_archives_share_tasks(spark):
+    small = spark.createDataFrame([(f"/none/{i}.zip", 10) for i in range(500)], "path string, length bigint")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert archives.read_archives(small).rdd.getNumPartitions() <= spread
+    large = spark.createDataFrame([("/none/l.zip", 500 * archives.RANGE_BYTES)], "path string, length bigint")
+    assert archives.read_archives(large).rdd.getNumPartitions() == 500
+
+
+def test_small_ranges_share_partitions():
+    from pyspark.sql.types import StringType, StructType
+
+    from labelmill.sources import archive_source
+
+    options = archive_source._Options({"path": "/none", "range_bytes": "100"}, StructType().add("setid", StringType()))
+    files = [archive_source.File(f"/none/{i}.zip", 150, 0) for i in range(2000)]
+    parts = options.partitions(files)
+    assert len(parts) <= 2 * archive_source.SPREAD
+    held = [(r.path, r.low, r.high) for p in parts for r in p.ranges]
+    assert held == [(f.path, low, high) for f in files for low, high in ((0, 100), (100, None))]
+    assert len(options.partitions(files[:100])) == 200
+
+
+def test_archived_labels_are_rendered_once(spark, sf_dir, monkeypatch):
+    from catalog import archived
+
+    plans = []
+
+    def planned(files, folder):
+        plans.append(files._jdf.queryExecution().optimizedPlan().toString())
+        return spark.range(1).select(F.col("id").alias("members"))
+
+    monkeypatch.setattr(archived.archives, "write_archives", planned)
+    archived.written(spark, sf_dir)
+    assert plans[0].count("Window ") == 1
+
+
+def test_distinct_entries_build_their_items_once(spark):
+    kept = text.keep_first_by(F.transform("x", F.upper), F.lower, F.array().cast("array<string>"))
+    rows = spark.range(1).select(F.array(F.lit("a"), F.lit("B"), F.lit("A"), F.col("id").cast("string")).alias("x")).select(kept.alias("k"))
+    assert rows.first()["k"] == ["A", "B", "0"]
+    assert rows._jdf.queryExecution().analyzed().toString().count("upper(") == 1
+
+
+def test_ndcs_are_those_of_the_pattern():
+    for shown in ("1234-567-8", "x1234-567-8 12345-6789-01", "12345-123-12-1234-123-1", "123456-123-1", "1234-567-891", "0001-222-33,0001-222-33", ""):
+        assert label_xml._ndcs_anywhere(shown) == label_xml._NDC_ANYWHERE.findall(shown)
