@@ -494,3 +494,11 @@ def test_distinct_entries_build_their_items_once(spark):
 def test_ndcs_are_those_of_the_pattern():
     for shown in ("1234-567-8", "x1234-567-8 12345-6789-01", "12345-123-12-1234-123-1", "123456-123-1", "1234-567-891", "0001-222-33,0001-222-33", ""):
         assert label_xml._ndcs_anywhere(shown) == label_xml._NDC_ANYWHERE.findall(shown)
+
+
+def test_concepts_of_many_queries_are_not_broadcast(spark):
+    candidates = spark.range(4).select(F.col("id").alias("query_id"), F.lit("c1").alias("rxcui"))
+    products = spark.createDataFrame([("s1", "c1"), ("s2", "c1"), ("s3", "c2")], "setid string, rxcui string")
+    found = search.products_by_concept(candidates, products)
+    assert sorted((r.query_id, r.setid) for r in found.collect()) == [(q, s) for q in range(4) for s in ("s1", "s2")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
