@@ -5,6 +5,7 @@ import json
 import os
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -502,3 +503,15 @@ def test_concepts_of_many_queries_are_not_broadcast(spark):
     found = search.products_by_concept(candidates, products)
     assert sorted((r.query_id, r.setid) for r in found.collect()) == [(q, s) for q in range(4) for s in ("s1", "s2")]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_read_in_slices_of_bounded_bytes(spark):
+    batch = pa.array(["<a/>" * n for n in (1, 1, 600, 1, 2)] + [None, "", "x" * 10])
+    slices = [s.to_pylist() for s in label_xml._slices(batch, most=20)]
+    assert [x for s in slices for x in s] == batch.to_pylist()
+    assert all(len(s) == 1 or sum(len(x or "") for x in s) <= 20 for s in slices) and len(slices) == 4
+    assert not list(label_xml._slices(pa.array([], pa.string())))
+    rows = spark.range(700).selectExpr("id", "if(id % 3 = 0, null, concat('<document xmlns=\"urn:hl7-org:v3\"><title>', id, '</title></document>')) AS xml")
+    read = {r.id: r.title for r in label_xml.parse_documents(rows).select("id", "doc.title").collect()}
+    assert read == {i: None if i % 3 == 0 else str(i) for i in range(700)}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
