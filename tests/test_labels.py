@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from labelmill import schemas
 from labelmill.functions import text
 from labelmill.plans import changes, index, pipeline, quality, screener, search, sinks
+from labelmill.session import scratch_dir
 from labelmill.sources import archive_source, archives, label_xml, landed
 from labelmill.streaming import ingest
 
@@ -515,3 +516,27 @@ def test_documents_are_read_in_slices_of_bounded_bytes(spark):
     read = {r.id: r.title for r in label_xml.parse_documents(rows).select("id", "doc.title").collect()}
     assert read == {i: None if i % 3 == 0 else str(i) for i in range(700)}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_reports_leave_nothing_staged_and_shuffle_no_xml(spark, sf_dir):
+    from catalog import archived
+
+    before = set(os.listdir(os.path.dirname(scratch_dir(spark, "none"))))
+    folder = archived._reports(spark, sf_dir)
+    made = set(os.listdir(os.path.dirname(folder))) - before
+    assert made == {os.path.basename(folder)}
+    files = spark.createDataFrame([("b.zip", "m", "m.xml", b"x"), ("a.zip", "m", "m.xml", b"y")], "archive string, member string, name string, content binary")
+    gathered = archives.write_archives(files.coalesce(1), f"{folder}/gathered", gathered=True)
+    assert "Exchange" not in gathered._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in gathered.collect()) == [("a.zip", 1), ("b.zip", 1)]
+
+
+def test_assessed_records_are_tiered_without_staging(spark, sf_dir):
+    from catalog import tiering
+
+    records = tiering.records(spark, sf_dir)
+    one = pipeline.tier_products(records, ["subject_seq"])
+    other = pipeline.tier_assessed(pipeline.assess(records), ["subject_seq"])
+    assert sorted(one.columns) == sorted(other.columns)
+    other = other.select(one.columns)
+    assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
