@@ -526,7 +526,7 @@ def test_reports_leave_nothing_staged_and_shuffle_no_xml(spark, sf_dir):
     made = set(os.listdir(os.path.dirname(folder))) - before
     assert made == {os.path.basename(folder)}
     files = spark.createDataFrame([("b.zip", "m", "m.xml", b"x"), ("a.zip", "m", "m.xml", b"y")], "archive string, member string, name string, content binary")
-    gathered = archives.write_archives(files.coalesce(1), f"{folder}/gathered", gathered=True)
+    gathered = archives.write_archives(archives.gathered(files.coalesce(1)), f"{folder}/gathered")
     assert "Exchange" not in gathered._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in gathered.collect()) == [("a.zip", 1), ("b.zip", 1)]
 
