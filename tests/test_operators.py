@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from labelmill.operators import joins, ordered
 from labelmill.operators.grams import GramIndex
 from tests.conftest import values
+from labelmill.sources import derived
 
 
 def _rows(n=600):
@@ -87,3 +88,16 @@ def test_gram_index_is_exact(spark, tmp_path, span):
     assert values(again.find(spark.createDataFrame([("x",)], "asked string"), "asked")) == [("x", "x")]
     folders = {f.split("shelf=")[1].split("/")[0] for f in again.postings.inputFiles()}
     assert len(folders) > 10
+
+
+def test_line_items_share_no_more_tasks_than_the_session_has(spark, monkeypatch, tmp_path):
+    """Tasks that gather the line items of labels grow in number with the table; labels stay the same."""
+    spark.range(2000).selectExpr(
+        "id % 30 AS l_partkey", "id * 700 AS l_orderkey", "int(id % 3) AS l_linenumber", "id % 7 AS l_suppkey",
+        "double(id) AS l_extendedprice", "date '2024-01-01' AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = derived.label_lines(spark, str(tmp_path))
+    monkeypatch.setattr(derived, "TASK_LINES", 100, raising=False)
+    many = derived.label_lines(spark, str(tmp_path))
+    assert many.rdd.getNumPartitions() == 20 > few.rdd.getNumPartitions()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
