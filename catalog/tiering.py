@@ -192,7 +192,8 @@ def tiered_products(spark, sf):
     base.with_ctes(base.TO_PRODUCTS, "SELECT spl_setid, alternative_sugar_alcohols FROM promoted"),
 )
 def alternatives(spark, sf):
-    rows = stage(pipeline.product_rows(assessed(spark, sf), ["subject_seq"]), "assessed", ["concern_tier"])
+    rows = pipeline.product_rows(assessed(spark, sf), ["subject_seq"]).select(*pipeline.PROMOTION, "subject_seq")
+    rows = stage(rows, "assessed", ["concern_tier"])
     candidates = pipeline.liquid_candidates(rows, ["subject_seq"])
     return pipeline.alternatives(rows, candidates).select(
         "spl_setid", "alternative_sugar_alcohols"
@@ -302,7 +303,7 @@ def multi_subject_alternatives(spark, sf):
     """A label with a matched and an unmatched subject never becomes an alternative."""
     rows = records(spark, sf).withColumn("write_seq", F.col("setid"))
     rows = rows.withColumn("setid", F.concat(F.lit("set-"), F.col("seq").cast("string")))
-    return pipeline.tier_products(rows, ["write_seq"]).select("spl_setid", "concern_tier", "alternative_sugar_alcohols")
+    return pipeline.tier_products(rows, ["write_seq"], columns=["spl_setid", "concern_tier", "alternative_sugar_alcohols"])
 
 
 @query(

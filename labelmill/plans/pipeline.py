@@ -18,6 +18,11 @@ from labelmill.operators.ordered import first_per_key, last_per_key
 from labelmill.session import stage
 
 TIERED = ["high", "moderate", "review"]
+#: Product columns that the choice of products and alternatives reads.
+PROMOTION = [
+    "spl_setid", "product_name", "labeler", "form_class", "route_class", "active_ingredients_unii", "concern_tier",
+    "matched_sugar_alcohols",
+]
 
 
 def assess(records: DataFrame, profile: str = "pipeline") -> DataFrame:
@@ -178,14 +183,27 @@ def with_alternatives(products: DataFrame, candidates: DataFrame) -> DataFrame:
     return products.unionByName(new, allowMissingColumns=True)
 
 
-def tier_products(records: DataFrame, order: Sequence[str] = ("subject_seq",), include_excluded: bool = False) -> DataFrame:
+def tier_products(
+    records: DataFrame,
+    order: Sequence[str] = ("subject_seq",),
+    include_excluded: bool = False,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
     """Whole job on product records: tiered products and their alternatives.
 
     The assessed rows are staged by tier once: tiered products, candidates and
-    the UNII table read their own columns and tiers from there.
+    the UNII table read their own columns and tiers from there.  Where only
+    some ``columns`` of the result are wanted, the others are neither made nor
+    staged, and the chosen products and candidates are staged too.
     """
-    rows = stage(product_rows(assess(records), order), "assessed", ["concern_tier"])
-    return _tiered(rows, order, include_excluded)
+    rows = product_rows(assess(records), order)
+    if columns is None:
+        return _tiered(stage(rows, "assessed", ["concern_tier"]), order, include_excluded)
+    needed = {*PROMOTION, *columns, *order}
+    rows = stage(rows.select(*[c for c in rows.columns if c in needed]), "assessed", ["concern_tier"])
+    products = stage(upsert_products(_included(rows, include_excluded), order), "products")
+    candidates = stage(liquid_candidates(rows, order), "candidates")
+    return with_alternatives(products, candidates).select(*columns)
 
 
 def tier_assessed(assessed: DataFrame, order: Sequence[str] = ("subject_seq",), include_excluded: bool = False) -> DataFrame:
@@ -193,9 +211,12 @@ def tier_assessed(assessed: DataFrame, order: Sequence[str] = ("subject_seq",),
     return _tiered(product_rows(assessed, order), order, include_excluded)
 
 
+def _included(rows: DataFrame, include_excluded: bool) -> DataFrame:
+    return rows if include_excluded else rows.filter("concern_tier <> 'excluded'")
+
+
 def _tiered(rows: DataFrame, order: Sequence[str], include_excluded: bool) -> DataFrame:
-    kept = rows if include_excluded else rows.filter("concern_tier <> 'excluded'")
-    products = upsert_products(kept, order)
+    products = upsert_products(_included(rows, include_excluded), order)
     return with_alternatives(products, liquid_candidates(rows, order)).drop(*order)
 
 

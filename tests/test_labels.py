@@ -540,3 +540,27 @@ def test_assessed_records_are_tiered_without_staging(spark, sf_dir):
     assert sorted(one.columns) == sorted(other.columns)
     other = other.select(one.columns)
     assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+
+
+def test_unwanted_product_columns_are_not_staged(spark, monkeypatch):
+    """A caller of few columns has the same rows and stages what they need only."""
+    inactives = lambda *names: [(n, n.lower(), "U2") for n in names]
+    rows = [
+        ("s1", 0, "A", "L", "SYRUP", "ORAL", None, ["1"], [("x", "1 mg", "U1")], inactives("Sorbitol", "water"), "z"),
+        ("s1", 1, "A", "L", "SYRUP", "ORAL", None, ["1"], [("x", "1 mg", "U1")], inactives("water"), "z"),
+        ("s2", 0, "B", "L", "SYRUP", "ORAL", None, ["2"], [("x", "1 mg", "U1")], inactives("water"), "z"),
+        ("s3", 0, None, None, None, None, None, None, None, None, None),
+    ]
+    schema = (
+        "setid string, subject_seq int, product_name string, labeler string, dosage_form string, route string, product_type string, "
+        "ndcs array<string>, actives array<struct<name:string,strength:string,unii:string>>, "
+        "inactives array<struct<raw_name:string,normalized_name:string,unii:string>>, source_file string"
+    )
+    records, staged = spark.createDataFrame(rows, schema), []
+    whole = pipeline.stage
+    monkeypatch.setattr(pipeline, "stage", lambda df, *more: staged.append(set(df.columns)) or whole(df, *more))
+    wanted = ["spl_setid", "concern_tier", "alternative_sugar_alcohols"]
+    few = pipeline.tier_products(records, columns=wanted)
+    assert few.columns == wanted and staged and not any("ndcs" in c or "inactive_ingredients_raw" in c for c in staged)
+    assert sorted(map(str, few.collect())) == sorted(map(str, pipeline.tier_products(records).select(*wanted).collect()))
+    assert {r["spl_setid"]: r["concern_tier"] for r in few.collect()} == {"s1": "high", "s2": "alternative"}

@@ -1,5 +1,7 @@
 """Vectors of text, query and ingredient expressions."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +166,13 @@ def test_suggestions(spark):
     assert [r.rxcui for r in rows if r.query_id == 1] == ["3", "4"]
     assert not [r for r in rows if r.query_id == 2]
     assert [r.rxcui for r in rows if r.query_id == 3][0] == "5"
+
+
+def test_normal_texts_are_spared_and_others_are_not(spark):
+    """The short way for texts that are normal already gives what the replacements give."""
+    marks = ["a", "B", "-", " ", "_", "7", "é", "İ", "\n", "%", "\u00a0"]
+    texts = [*("".join(t) for n in range(4) for t in itertools.product(marks, repeat=n)), "ab\n", "a b\r", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    blanked = F.regexp_replace(F.lower("t"), r"(?U)[^\p{L}\p{N}_\s-]", " ")
+    plain = text.squash(F.regexp_replace(blanked, "-+", "-"))
+    assert df.filter(~plain.eqNullSafe(text.normalize_text(F.col("t")))).count() == 0
