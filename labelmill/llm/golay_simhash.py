@@ -22,7 +22,7 @@ connection, with a bounded number of rows per fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -47,9 +47,16 @@ BUCKET = 64
 COUNTED = 1 << 16
 
 
-def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+def ascii_words(text: str) -> list[bytes]:
+    """Words between ASCII white space; A-Z become lower case."""
+    return text.encode("utf-8").lower().split()
+
+
+def shingle_hashes(
+    text: str | None, shingle: int = SHINGLE, words_of: Callable[[str], list[bytes]] = ascii_words
+) -> Iterator[np.ndarray]:
     """Hashes of the word shingles of a whole text, in blocks; a shorter text is one shingle, a wordless one has none."""
-    words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z only, ASCII white space
+    words = words_of(text or "")
     if not words:
         return
     joined, ends, at = b" ".join(words), [], -1
@@ -67,15 +74,20 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndar
         )
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a whole text: majority bits of the hashes of its word shingles."""
+def simhash(blocks: Iterable[np.ndarray]) -> int:
+    """Majority bits of hashes that come in blocks."""
     count, ones = 0, np.zeros(64, dtype=np.int64)
-    for hashes in shingle_hashes(text):
+    for hashes in blocks:
         count += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones > count))
 
 
+def fingerprint(text: str | None) -> int:
+    """SimHash of a whole text by its word shingles."""
+    return simhash(shingle_hashes(text))
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 

@@ -91,3 +91,22 @@ def test_documents_and_odd_rows(spark, odd_docs, no_docs):
     # 1, the wordless 2 to 4, 5, 6, both texts of 7, the row without an id
     assert sorted(str(r["doc_id"]) for r in ns.one_of_each(odd_docs).collect()) == ["1", "2", "5", "6", "7", "7", "None"]
     assert ns.one_of_each(no_docs).count() == 0
+
+
+def test_texts_of_any_script_are_compared_by_words(spark):
+    """Case, white space and scripts without spaces are Unicode's, so copies that differ in them or in a word go."""
+    accented = " ".join(f"é{i}ß Ünter{i % 7} žá{i}" for i in range(40))
+    unspaced = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(300))
+    rows = [
+        (1, accented), (2, accented.upper()), (3, accented.replace(" ", " ")), (4, accented.replace(" ", "　").title()),
+        (5, unspaced), (6, unspaced[:150] + "あ" + unspaced[151:]), (7, unspaced[:20] + "x" * 300),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in ns.one_of_each(docs).collect()) == [1, 5, 7]
+
+
+def test_sets_of_near_simhashes_are_linked(spark):
+    """Pairs of sets within two bits are linked by their SimHashes, sets of one SimHash through the smallest; null ones are not."""
+    prints = [(1, 0), (2, 0b11), (3, 0b111), (4, 1 << 40), (5, 0), (6, None), (7, -1), (8, None)]
+    found = {tuple(sorted(r)) for r in ns._by_prints(spark.createDataFrame(prints, "set_id long, print long")).collect()}
+    assert found == {(1, 2), (1, 4), (1, 5), (2, 3)}
