@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import re
 import zipfile
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from labelmill import schemas
 from labelmill.functions import text
 from labelmill.plans import changes, index, pipeline, quality, screener, search, sinks
 from labelmill.session import scratch_dir
-from labelmill.sources import archive_source, archives, label_xml, landed
+from labelmill.sources import archive_source, archives, derived, label_xml, landed
 from labelmill.streaming import ingest
 
 UNII = "2.16.840.1.113883.4.9"
@@ -564,3 +565,26 @@ def test_unwanted_product_columns_are_not_staged(spark, monkeypatch):
     assert few.columns == wanted and staged and not any("ndcs" in c or "inactive_ingredients_raw" in c for c in staged)
     assert sorted(map(str, few.collect())) == sorted(map(str, pipeline.tier_products(records).select(*wanted).collect()))
     assert {r["spl_setid"]: r["concern_tier"] for r in few.collect()} == {"s1": "high", "s2": "alternative"}
+
+
+def test_parts_go_to_gathered_labels(spark, tmp_path):
+    """Gathered labels are not dealt out again for their part; null order keys, missing and repeated parts are as in a plain join."""
+    lines = [(1, 5, n, n, 1.0, "d") for n in range(10)] + [(1, None, 1, 1, 1.0, "d"), (1, derived.ORDER_SPAN, 1, 1, 1.0, "d")]
+    lines += [(2, 7, 1, 1, 1.0, "d"), (2, None, None, 1, None, None), (3, 1, 1, 1, 1.0, "d"), (None, 1, 1, 1, 1.0, "d")]
+    schema = "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long, l_extendedprice double, l_shipdate string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(1, "one", "b"), (2, "two", "b"), (2, "other", "b"), (9, "none", "b"), (None, "null", "b")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    rows = derived.label_records(spark, str(tmp_path))
+    found = sorted((r.setid, r.product_name, len(r.actives) + len(r.inactives)) for r in rows.collect())
+    one = [("set-1-0", "one", 1), ("set-1-0-0", "one", 8), ("set-1-0-1", "one", 2), ("set-1-1-0", "one", 1)]
+    two = [(f"set-2-{s}", name, 1) for s in ("0", "0-0") for name in ("other", "two")]
+    assert found == sorted(one + two)
+    assert derived.label_lines(spark, str(tmp_path)).filter("span IS NULL").count() == 2
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = derived.label_records(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.search(r"SortMergeJoin \[l_partkey#\d+L, span#\d+L\], \[l_partkey#\d+L, span#\d+L\]", plan)
