@@ -588,3 +588,45 @@ def test_parts_go_to_gathered_labels(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert re.search(r"SortMergeJoin \[l_partkey#\d+L, span#\d+L\], \[l_partkey#\d+L, span#\d+L\]", plan)
+
+
+def test_archives_are_packed_as_zipfile_reads_them(monkeypatch):
+    files = [("a.xml", b"x" * 5000), ("é/ü.xml", b""), ("b", bytes(range(256)) * 10)]
+    for most in (archives.PACKED, (0, 0, 0)):  # directly, by zipfile
+        monkeypatch.setattr(archives, "PACKED", most)
+        with zipfile.ZipFile(io.BytesIO(archives.packed(files))) as z:
+            assert z.testzip() is None and [(n, z.read(n)) for n in z.namelist()] == files
+            assert {i.compress_type for i in z.infolist()} == {zipfile.ZIP_DEFLATED}
+        with zipfile.ZipFile(io.BytesIO(archives.packed([]))) as z:
+            assert z.namelist() == []
+
+
+def test_members_are_checked_without_their_text(spark, zips):
+    """Without ``xml`` only the asked columns come, and damage inside an XML is a failure still."""
+    columns = ["source_file", "member", "setid", "xml_seq", "error_type"]
+    data = bytearray(inner(s9__xml="<document>" + "text " * 400 + "</document>"))
+    data[60:64] = b"\xff\x00\xff\x00"
+    with zipfile.ZipFile(zips / "c.zip", "w") as z:
+        z.writestr("1.zip", bytes(data))
+    listed = archives.list_archives(spark, str(zips))
+    names = archives.read_archives(listed, columns=columns)
+    assert sorted(names.columns) == sorted(columns)
+    whole = archives.read_archives(listed).select(*columns)
+    assert sorted(map(str, names.select(*columns).collect())) == sorted(map(str, whole.collect()))
+    assert [r.error_type for r in names.filter("source_file = 'c.zip'").collect()] == ["read_error"]
+
+
+def test_archives_are_parsed_where_they_are_read(spark, zips):
+    listed = archives.list_archives(spark, str(zips))
+    one = label_xml.parse_archives(listed, "records")
+    other = label_xml.parse_documents(archives.read_archives(listed), "records")
+    assert one.dtypes == other.dtypes
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "xml#" not in plan and plan.count("MapInArrow") == 1
+    # only a mark of every document is shuffled for the labels that gave nothing
+    read = archives.labels_only(one)
+    marks = label_xml.first_labels_read(read)
+    assert sorted(map(str, marks.collect())) == sorted(map(str, label_xml.labels_read(label_xml.first_label_per_archive(read)).collect()))
+    below = marks._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1].splitlines()
+    assert "doc#" not in below[0] and any("subjects" in line and "Project" in line for line in below)
