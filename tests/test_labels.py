@@ -630,3 +630,16 @@ def test_archives_are_parsed_where_they_are_read(spark, zips):
     assert sorted(map(str, marks.collect())) == sorted(map(str, label_xml.labels_read(label_xml.first_label_per_archive(read)).collect()))
     below = marks._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1].splitlines()
     assert "doc#" not in below[0] and any("subjects" in line and "Project" in line for line in below)
+
+
+def test_many_asks_are_not_broadcast(spark):
+    """Queries that grow with the data do not go through the driver, nor do the products that they are joined to."""
+    raw = spark.range(40).select(F.col("id").alias("query_id"), F.concat(F.lit("alpha syrup "), (F.col("id") % 2).cast("string")).alias("raw_text"))
+    raw = raw.unionByName(spark.createDataFrame([(100, "0002-1234-01 beta")], "query_id long, raw_text string"))
+    rows = [(f"s{i}", f"Alpha {i % 2} SYRUP", "l", "SYRUP", "ORAL", ["0002-1234-01"] if i == 3 else [], i) for i in range(6)]
+    listings = spark.createDataFrame(rows, "setid string, product_name string, labeler string, dosage_form string, route string, ndcs array<string>, seq int")
+    found = search.broad_search(raw, listings)
+    hits = sorted((r.query_id, r.setid) for r in found.collect())
+    assert hits == sorted([(q, f"s{i}") for q in range(40) for i in range(6) if i % 2 == q % 2] + [(100, "s3")])
+    joined = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "_salt" in line]
+    assert joined and all("SortMergeJoin" in line for line in joined)
